@@ -1,0 +1,5 @@
+"""Batch only: no operator in scope has a streaming form, so nothing lives here.
+
+Row-wise cleaners (``clean_text``, ``timestamp_features``, the constant fills) are plain projections and therefore
+also accept a streaming DataFrame as they are.
+"""
