@@ -33,10 +33,14 @@ def iqr_bounds(
 ) -> dict[str, tuple[float, float, float, float]]:
     """``(q1, q3, lower, upper)`` of each column that has values, all columns in one pass."""
     found = quantiles(df, names, QUARTILES, mode=mode, error=error)
+    return bounds_from({c: tuple(q) for c, q in found.items() if q is not None}, factor)
+
+
+def bounds_from(
+    quartiles: dict[str, tuple[float, float]], factor: float = IQR_FACTOR
+) -> dict[str, tuple[float, float, float, float]]:
     return {
-        c: (q[0], q[1], q[0] - factor * (q[1] - q[0]), q[1] + factor * (q[1] - q[0]))
-        for c, q in found.items()
-        if q is not None
+        c: (q1, q3, q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)) for c, (q1, q3) in quartiles.items()
     }
 
 
