@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,8 +110,20 @@ def aggregate_row(df: DataFrame, exprs: Sequence[Column]) -> list:
     return list(df.agg(*[e.alias(f"__{i}") for i, e in enumerate(exprs)]).first())
 
 
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def local_rows(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """A small table of values that the driver holds anyway, such as a line per column or per model."""
+    fields = T._parse_datatype_string(schema).fields
+    cells = {
+        f.name: pa.array([row[i] for row in rows], _ARROW[f.dataType.simpleString()]) for i, f in enumerate(fields)
+    }
+    return spark.createDataFrame(pa.table(cells), schema=schema)
+
+
 def empty(df: DataFrame, schema: str) -> DataFrame:
-    return df.sparkSession.createDataFrame([], schema)
+    return local_rows(df.sparkSession, [], schema)
 
 
 def report(df: DataFrame, lines: Sequence[dict[str, Column]], schema: str) -> DataFrame:
@@ -134,7 +147,7 @@ def fused_reports(df: DataFrame, parts: dict[str, tuple[Sequence[dict[str, Colum
         flat += [line[f.name].cast(f.dataType) for line in lines for f in fields]
     values = iter(aggregate_row(df, flat))
     return {
-        key: df.sparkSession.createDataFrame([tuple(next(values) for _ in range(width)) for _ in range(count)], schema)
+        key: local_rows(df.sparkSession, [[next(values) for _ in range(width)] for _ in range(count)], schema)
         for key, (count, schema, width) in spans.items()
     }
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scrubwell.functions.columns import empty, name_table, ref
 
 SCHEMA = "column string, value string, n bigint"
+SUMMARY_SCHEMA = "column string, n_rows bigint, n_values bigint, entropy double, n_rare bigint"
 # Longer values travel as a digest when only the group sizes matter.
 INLINE_CHARS = 48
 # Fixed value: a category below this share of the rows is rare.

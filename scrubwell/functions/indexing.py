@@ -26,12 +26,22 @@ class FrequencyIndex:
     rows: int
     small_limit: int = SMALL_INDEX
 
-    def attach(self, df: DataFrame, value: Column, name: str) -> DataFrame:
-        """``df`` with the index of ``value`` in column ``name``; rows with NULL or an unknown value are dropped."""
+    def attach(self, df: DataFrame, value: Column, name: str, keep_null: bool = False) -> DataFrame:
+        """``df`` with the index of ``value`` in column ``name``; rows with an unknown value are dropped.
+
+        So are rows with NULL, unless ``keep_null``. Frequent values are joined by broadcast, so that no task of the
+        shuffled join gets all rows of one value; NULL never enters a join.
+        """
+        if keep_null and self.size > self.small_limit:
+            absent = df.filter(value.isNull()).withColumn(name, F.lit(None).cast("double"))
+            return self.attach(df.filter(value.isNotNull()), value, name).unionByName(absent)
         keyed = df.withColumn("__value", value)
         table = self.table.select("__value", F.col("__index").alias(name))
         if self.size <= self.small_limit:
-            return keyed.join(F.broadcast(table), "__value").drop("__value")
+            joined = keyed.join(F.broadcast(table), "__value", "left" if keep_null else "inner")
+            if keep_null:
+                joined = joined.filter(F.col("__value").isNull() | ref(name).isNotNull())
+            return joined.drop("__value")
         hot_floor = F.lit(int(self.rows * HOT_SHARE))
         hot = self.table.filter(F.col("__n") > hot_floor).select("__value", F.col("__index").alias(name))
         cold = self.table.filter(F.col("__n") <= hot_floor).select("__value", F.col("__index").alias(name))

@@ -12,7 +12,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, Rando
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubwell.functions.columns import require, string_columns
+from scrubwell.functions.columns import local_rows, require, string_columns
 from scrubwell.operators.features import TASKS, TEXT_CHARS, fit_features, prepare_rows, text_features
 from scrubwell.operators.metrics import classification_metrics, regression_metrics
 from scrubwell.operators.resample import SEED, TRAIN_PERCENT, train_test_split
@@ -72,7 +72,7 @@ def evaluate(
     error.
     """
     rows = _evaluate_rows(df, target, task, seed, train_percent, text_chars, train_steps, inverse)
-    return df.sparkSession.createDataFrame(rows, result_schema(task))
+    return local_rows(df.sparkSession, rows, result_schema(task))
 
 
 def _evaluate_rows(df, target, task, seed, train_percent, text_chars, train_steps, inverse) -> list[tuple]:
@@ -165,4 +165,4 @@ def compare(
         + ", ".join(f"{m} double" for m in names) + ", "
         + ", ".join(f"{m}_change double" for m in names) + ", error string"
     )
-    return raw.sparkSession.createDataFrame(rows, schema)
+    return local_rows(raw.sparkSession, rows, schema)

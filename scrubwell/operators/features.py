@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, StringIndexer, StringIndexerModel, Tokenizer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, HashingTF, StringIndexer, StringIndexerModel, Tokenizer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,7 +104,7 @@ def fit_features(
         return df.select(*[ref(c).alias(safe[c]) for c in names], label.alias("y"))
 
     base = plain(train)
-    sizes = aggregate_row(base, [F.approx_count_distinct(safe[c], 0.01) for c in categories])
+    sizes = aggregate_row(base, [F.approx_count_distinct(safe[c]) for c in categories])
     many = [safe[c] for c, k in zip(categories, sizes) if k > max_categories]
     few = [safe[c] for c in categories if safe[c] not in many]
     ranked = {c: frequency_index(base, c) for c in many}
@@ -137,15 +137,39 @@ def fit_features(
         return df
 
     model = Pipeline(stages=stages).fit(numbered(base))
-    arity = [MIN_CATEGORIES]
+    arity = {}
     if few:
         indexer = next(s for s in model.stages if isinstance(s, StringIndexerModel))
-        arity += [len(labels) for labels in indexer.labelsArray]
+        arity = {f"{s}_idx": len(labels) for s, labels in zip(few, indexer.labelsArray)}
+    widths = {}
+    for stage in model.stages:
+        if isinstance(stage, HashingTF):
+            widths[stage.getOutputCol()] = stage.getNumFeatures()
+        elif isinstance(stage, CountVectorizerModel):
+            widths[stage.getOutputCol() + "idf"] = len(stage.vocabulary)
     label = F.col("label") if string_label else F.col("y").alias("label")
+    features = F.col("features").alias("features", metadata=_slots(inputs, widths, arity))
 
     def transform(df: DataFrame) -> DataFrame:
-        return model.transform(numbered(plain(df))).select(label, "features")
+        return model.transform(numbered(plain(df))).select(label, features)
 
     kinds = {c: "text" if c in texts else "rank" if safe[c] in many else "category" if c in categories else "number"
              for c in names}
-    return Features(transform, 2 * max(arity), kinds)
+    return Features(transform, 2 * max([MIN_CATEGORIES, *arity.values()]), kinds)
+
+
+def _slots(inputs: list[str], widths: dict[str, int], arity: dict[str, int]) -> dict:
+    """Column metadata that says which vector slots are categories.
+
+    The assembler describes each slot, which for hashed words is a quarter of a million entries that every later
+    step would carry along; models need to know the categories only.
+    """
+    nominal, slot = [], 0
+    for name in inputs:
+        if name in arity:
+            nominal.append({"type": "nominal", "idx": slot, "num_vals": arity[name]})
+        slot += widths.get(name, 1)
+    described = {"num_attrs": slot}
+    if nominal:
+        described["attrs"] = {"nominal": nominal}
+    return {"ml_attr": described}

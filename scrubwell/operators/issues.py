@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubwell.functions.columns import fused_reports, numeric_columns, require, string_columns
-from scrubwell.functions.frequencies import categorical_summary
+from scrubwell.functions.columns import fused_reports, local_rows, numeric_columns, require, string_columns
+from scrubwell.functions.frequencies import SUMMARY_SCHEMA, categorical_summary
 from scrubwell.functions.quantiles import quantiles
 from scrubwell.operators import classes, duplicates, missing, outliers, skew, target as targets, timestamps
 from scrubwell.operators.features import TASKS
@@ -44,7 +44,7 @@ def issue_report(
         },
     )
     summary = categorical_summary(wide, string_columns(wide, [target]))
-    summary = spark.createDataFrame(summary.collect(), summary.schema)  # a row per column
+    summary = local_rows(spark, summary.collect(), SUMMARY_SCHEMA)  # a row per column
     result = {
         "schema": schema_listing(df),
         "missing": figures["missing"].orderBy(F.desc("missing_count"), "column"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubwell.functions.columns import as_double, is_numeric, numeric_columns, ref, report, require
+from scrubwell.functions.columns import as_double, empty, is_numeric, numeric_columns, ref, report, require
 from scrubwell.functions.frequencies import frequencies, totals
 from scrubwell.functions.quantiles import quantiles
 from scrubwell.functions.stats import missing
@@ -47,7 +47,7 @@ def column_profile(df: DataFrame, mode: str = "approx", error: float = 0.01) ->
                 "n": F.count(F.lit(1)),
                 "n_missing": gaps,
                 "p_missing": gaps / F.nullif(F.count(F.lit(1)), F.lit(0)),
-                "n_distinct": F.lit(None) if mode == "exact" else F.approx_count_distinct(cell, 0.01),
+                "n_distinct": F.lit(None) if mode == "exact" else F.approx_count_distinct(cell),
                 "min": F.min(number),
                 "max": F.max(number),
                 "mean": F.avg(number),
@@ -78,7 +78,7 @@ def top_values(df: DataFrame, k: int = 10) -> DataFrame:
     require(df)
     names = _profiled(df)
     if not names:
-        return df.sparkSession.createDataFrame([], "column string, rank int, value string, n bigint")
+        return empty(df, "column string, rank int, value string, n bigint")
     freq = frequencies(df, names).filter("n > 0")
     place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), F.asc_nulls_last("value")))
     return freq.withColumn("rank", place).filter(F.col("rank") <= k).select("column", "rank", "value", "n")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrubwell.functions.columns import (
-    aggregate_row, is_numeric, is_string, numeric_columns, ref, require, string_columns,
+    aggregate_row, empty, is_numeric, is_string, local_rows, numeric_columns, ref, require, string_columns,
 )
 from scrubwell.functions.indexing import SMALL_INDEX, frequency_index
 from scrubwell.functions.stats import pearson
@@ -45,27 +45,24 @@ def target_correlation(
     field = df.schema[target]
     numeric, strings = numeric_columns(df, [target]), string_columns(df, [target])
     if not (is_numeric(field) or is_string(field)):
-        return df.sparkSession.createDataFrame([], SCHEMA)
+        return empty(df, SCHEMA)
     if complete_cases:
         ranked = _low_cardinality(df, strings, limit)
         needed = ranked + ([target] if is_string(field) else [])
         df = df.filter(reduce(and_, [ref(c).isNotNull() for c in needed], F.lit(True)))
     y = ref(target).cast("double")
     if is_string(field):
-        # a left join would be needed to keep rows without a label, but they count in the ranks of the features only
-        labels = frequency_index(df, target)
-        labelled = labels.attach(df, ref(target), "__y")
-        missing_label = df.filter(ref(target).isNull()).withColumn("__y", F.lit(None).cast("double"))
-        df, y = labelled.unionByName(missing_label), F.col("__y")
+        # rows without a label stay: they count in the ranks of the features
+        df, y = frequency_index(df, target).attach(df, ref(target), "__y", keep_null=True), F.col("__y")
     found = aggregate_row(
         df,
         [F.avg(y)]
         + [pearson(ref(c).cast("double"), y) for c in numeric]
-        + [F.approx_count_distinct(ref(c), 0.01) for c in strings],
+        + [F.approx_count_distinct(ref(c)) for c in strings],
     )
     centre = found[0]
     rows = [(c, r) for c, r in zip(numeric, found[1:]) if r is not None]
-    result = df.sparkSession.createDataFrame(rows, SCHEMA)
+    result = local_rows(df.sparkSession, rows, SCHEMA)
     # Below a few hundred values the estimate counts occupied registers, so it cannot exceed a true count under the
     # limit by more than a rounding; twice the limit therefore excludes no column that belongs in.
     likely = [c for c, k in zip(strings, found[1 + len(numeric):]) if k <= 2 * limit]
@@ -78,7 +75,7 @@ def target_correlation(
 
 
 def _low_cardinality(df: DataFrame, names: list[str], limit: int) -> list[str]:
-    guesses = aggregate_row(df, [F.approx_count_distinct(ref(c), 0.01) for c in names])
+    guesses = aggregate_row(df, [F.approx_count_distinct(ref(c)) for c in names])
     likely = [c for c, k in zip(names, guesses) if k <= 2 * limit]
     exact = aggregate_row(
         df, [F.count_distinct(ref(c)) + F.max(ref(c).isNull().cast("int")) for c in likely]

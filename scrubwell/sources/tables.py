@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubwell.functions.columns import ref, require
+from scrubwell.functions.columns import local_rows, ref, require
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options) -> DataFrame:
@@ -29,7 +29,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def schema_listing(df: DataFrame) -> DataFrame:
     """``(position, column, data_type)``."""
     rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "position int, column string, data_type string")
+    return local_rows(df.sparkSession, rows, "position int, column string, data_type string")
 
 
 def preview(df: DataFrame, n: int = 5, order_by: Sequence[str | Column] | None = None) -> DataFrame:
