@@ -120,17 +120,26 @@ def _narrow_by_sketch(flat: DataFrame, wide: list[_Target]) -> None:
     A pivot is a data value of the interval, so every round excludes at least one value, and normally all but about
     ``4 * STEP_ERROR`` of the rows. The counts are exact, so the sketch decides only how fast this goes.
     """
-    masked = flat.select(*[t.masked().alias(f"m{i}") for i, t in enumerate(wide)])
+    # neighbouring ranks share an interval until it gets small, so each interval is sketched once
+    spans = {(t.column, t.low, t.high): t for t in wide}
+    slots = {span: f"m{i}" for i, span in enumerate(spans)}
+    masked = flat.select(*[t.masked().alias(slots[span]) for span, t in spans.items()])
     aims = [(t.rank - t.below + 0.5) / t.inside for t in wide]
     grid = sorted({min(1.0, max(0.0, a + d)) for a in aims for d in (-2 * STEP_ERROR, 0.0, 2 * STEP_ERROR)})
-    sketched = masked.stat.approxQuantile(masked.columns, grid, STEP_ERROR)
-    pivots, exprs = [], []
-    for i, (aim, values) in enumerate(zip(aims, sketched)):
-        near = sorted({v for g, v in zip(grid, values) if abs(g - aim) <= 2.5 * STEP_ERROR})
-        pivots.append(near)
+    sketched = dict(zip(masked.columns, masked.stat.approxQuantile(masked.columns, grid, STEP_ERROR)))
+    pivots: list[tuple[_Target, str, list[float]]] = []
+    tests: dict[tuple[str, float], int] = {}
+    for target, aim in zip(wide, aims):
+        slot = slots[target.column, target.low, target.high]
+        near = sorted({v for g, v in zip(grid, sketched[slot]) if abs(g - aim) <= 2.5 * STEP_ERROR})
+        pivots.append((target, slot, near))
         for v in near:
-            exprs += [F.count_if(F.col(f"m{i}") < F.lit(v)), F.count_if(F.col(f"m{i}") <= F.lit(v))]
-    counted = iter(aggregate_row(masked, exprs))
-    for target, near in zip(wide, pivots):
-        pairs = [(next(counted) + target.below, next(counted) + target.below) for _ in near]
-        target.narrow(near, [lt for lt, _ in pairs], [le for _, le in pairs])
+            tests.setdefault((slot, v), len(tests))
+    counts = [F.count_if(F.col(slot) < F.lit(v)) for slot, v in tests]
+    counts += [F.count_if(F.col(slot) <= F.lit(v)) for slot, v in tests]
+    counted = aggregate_row(masked, counts)
+    for target, slot, near in pivots:
+        at = [tests[slot, v] for v in near]
+        less = [counted[i] + target.below for i in at]
+        upto = [counted[i + len(tests)] + target.below for i in at]
+        target.narrow(near, less, upto)

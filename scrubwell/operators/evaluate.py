@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrubwell.functions.columns import local_rows, require, string_columns
+from scrubwell.functions.rows import content_digest
 from scrubwell.operators.features import TASKS, TEXT_CHARS, fit_features, prepare_rows, text_features
 from scrubwell.operators.metrics import classification_metrics, regression_metrics
 from scrubwell.operators.resample import SEED, TRAIN_PERCENT, train_test_split
@@ -75,12 +76,23 @@ def evaluate(
     return local_rows(df.sparkSession, rows, result_schema(task))
 
 
+def _spread(df: DataFrame, seed: int) -> DataFrame:
+    """Rows over all cores when the source has fewer partitions than that, as a table in one small file has.
+
+    Fitting is bound by computation, so idle cores cost more than this shuffle. Large tables are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, content_digest(df.columns, seed))
+
+
 def _evaluate_rows(df, target, task, seed, train_percent, text_chars, train_steps, inverse) -> list[tuple]:
     require(df, target)
     metrics = METRICS[task] if task in METRICS else ()
     names = list(models(task, 2))
     blank = (None,) * len(metrics)
-    prepared = prepare_rows(df, target, task)
+    prepared = _spread(prepare_rows(df, target, task), seed)
     # held for the fits below, which pass over the rows many times; lost blocks are computed again
     prepared.persist(StorageLevel.MEMORY_AND_DISK)
     held = [prepared]

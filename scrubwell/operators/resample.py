@@ -112,8 +112,10 @@ def oversample(df: DataFrame, target: str, seed: int = SEED, piece: int = PIECE)
     draw_digest = F.md5(
         F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("__class").cast("string"), F.lit("")), F.col("__draw").cast("string"))
     )
+    # coalesce marks the rank as never NULL; otherwise the join adds a filter that computes each digest twice
+    rank = F.coalesce(digest_number(draw_digest, 15) % F.col("__size"), F.lit(0))
     hits = (
-        draws.select("__class", (digest_number(draw_digest, 15) % F.col("__size")).alias("__rank"))
+        draws.select("__class", rank.alias("__rank"))
         .groupBy("__class", "__rank")
         .agg(F.count(F.lit(1)).alias("__hits"))
     )

@@ -54,18 +54,10 @@ def target_correlation(
     if is_string(field):
         # rows without a label stay: they count in the ranks of the features
         df, y = frequency_index(df, target).attach(df, ref(target), "__y", keep_null=True), F.col("__y")
-    found = aggregate_row(
-        df,
-        [F.avg(y)]
-        + [pearson(ref(c).cast("double"), y) for c in numeric]
-        + [F.approx_count_distinct(ref(c)) for c in strings],
-    )
-    centre = found[0]
-    rows = [(c, r) for c, r in zip(numeric, found[1:]) if r is not None]
+    centre, *found = aggregate_row(df, [F.avg(y)] + [pearson(ref(c).cast("double"), y) for c in numeric])
+    rows = [(c, r) for c, r in zip(numeric, found) if r is not None]
     result = local_rows(df.sparkSession, rows, SCHEMA)
-    # Below a few hundred values the estimate counts occupied registers, so it cannot exceed a true count under the
-    # limit by more than a rounding; twice the limit therefore excludes no column that belongs in.
-    likely = [c for c, k in zip(strings, found[1 + len(numeric):]) if k <= 2 * limit]
+    likely = _maybe_low_cardinality(df, strings, limit)
     if likely and centre is not None:
         result = result.unionByName(_ranked_correlation(df, likely, y - F.lit(centre), limit))
     return (
@@ -74,9 +66,19 @@ def target_correlation(
     )
 
 
-def _low_cardinality(df: DataFrame, names: list[str], limit: int) -> list[str]:
+def _maybe_low_cardinality(df: DataFrame, names: list[str], limit: int) -> list[str]:
+    """The columns that can have fewer than ``limit`` values, so that the others need no exact count.
+
+    For a few hundred values the estimate is a function of the occupied registers and stays within a tenth or so
+    above the true count; the margin of two excludes no column that belongs in. The estimates are a job of their own:
+    they would keep the moments out of generated code, and they read other columns anyway.
+    """
     guesses = aggregate_row(df, [F.approx_count_distinct(ref(c)) for c in names])
-    likely = [c for c, k in zip(names, guesses) if k <= 2 * limit]
+    return [c for c, k in zip(names, guesses) if k <= 2 * limit]
+
+
+def _low_cardinality(df: DataFrame, names: list[str], limit: int) -> list[str]:
+    likely = _maybe_low_cardinality(df, names, limit)
     exact = aggregate_row(
         df, [F.count_distinct(ref(c)) + F.max(ref(c).isNull().cast("int")) for c in likely]
     )
