@@ -31,9 +31,8 @@ def _cell(value):
     return repr(value)
 
 
-def compare(spark, connection, name: str, sf_dir: str) -> str | None:
+def compare(frame, connection, name: str) -> str | None:
     """``None`` when the query and its SQL agree in columns, types of numbers and rows; otherwise what differs."""
-    frame = QUERIES[name](spark, sf_dir)
     columns = sorted(frame.columns)
     found = sorted(tuple(_cell(row[c]) for c in columns) for row in frame.collect())
     result = connection.execute(ORACLE[name])
@@ -70,7 +69,7 @@ if __name__ == "__main__":
         start = time.time()
         try:
             if key in ORACLE:
-                note = compare(session, con, key, folder) or "equal"
+                note = compare(QUERIES[key](session, folder), con, key) or "equal"
             else:
                 note = f"{QUERIES[key](session, folder).count()} rows, no SQL"
         except Exception as error:
