@@ -80,6 +80,7 @@ def _spread(df: DataFrame, seed: int) -> DataFrame:
     """Rows over all cores when the source has fewer partitions than that, as a table in one small file has.
 
     Fitting is bound by computation, so idle cores cost more than this shuffle. Large tables are left as they are.
+    ``df`` is persisted, so asking for its partitions computes nothing twice.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
@@ -92,11 +93,11 @@ def _evaluate_rows(df, target, task, seed, train_percent, text_chars, train_step
     metrics = METRICS[task] if task in METRICS else ()
     names = list(models(task, 2))
     blank = (None,) * len(metrics)
-    prepared = _spread(prepare_rows(df, target, task), seed)
     # held for the fits below, which pass over the rows many times; lost blocks are computed again
-    prepared.persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = prepare_rows(df, target, task).persist(StorageLevel.MEMORY_AND_DISK)
     held = [prepared]
     try:
+        prepared = _spread(prepared, seed)
         train, test = train_test_split(prepared, train_percent, seed)
         if train_steps is not None:
             train = train_steps.apply(train)

@@ -23,8 +23,8 @@ def issue_report(
     """Schema, missing values, duplicates, skew, outliers, correlation and, for classes, their balance.
 
     Calendar parts of timestamps are added first. However wide the table, one job finds the quartiles, one computes
-    all per-column figures and one counts the categories. The duplicate groups and the rows with missing cells, which
-    grow with the data, stay lazy.
+    all per-column figures and one counts the categories. The rows of the duplicate groups and those with missing cells,
+    which grow with the data, are not computed until they are asked for.
     """
     require(df, target)
     if task not in TASKS:
