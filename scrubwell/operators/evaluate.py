@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import (
@@ -64,15 +64,16 @@ def evaluate(
     text_chars: float = TEXT_CHARS,
     train_steps: CleaningPlan | None = None,
     inverse: Callable[[Column], Column] | None = None,
+    only: Sequence[str] | None = None,
 ) -> DataFrame:
     """Fit every model of the task on the training rows and score it on the test rows, a row per model.
 
     Features are fitted once and shared by the models, which read them from a persisted table. ``train_steps`` are
     cleaning steps for the training rows alone, ``inverse`` maps labels and predictions back to the scale in which a
-    regression is to be scored. A model that fails gives a row with ``status`` "failed" and the first line of the
+    regression is to be scored, ``only`` names the models to fit. A model that fails gives a row with ``status`` "failed" and the first line of the
     error.
     """
-    rows = _evaluate_rows(df, target, task, seed, train_percent, text_chars, train_steps, inverse)
+    rows = _evaluate_rows(df, target, task, seed, train_percent, text_chars, train_steps, inverse, only)
     return local_rows(df.sparkSession, rows, result_schema(task))
 
 
@@ -88,10 +89,14 @@ def _spread(df: DataFrame, seed: int) -> DataFrame:
     return df.repartition(cores, content_digest(df.columns, seed))
 
 
-def _evaluate_rows(df, target, task, seed, train_percent, text_chars, train_steps, inverse) -> list[tuple]:
+def _evaluate_rows(
+    df, target, task, seed, train_percent, text_chars, train_steps, inverse, only=None
+) -> list[tuple]:
     require(df, target)
-    metrics = METRICS[task] if task in METRICS else ()
-    names = list(models(task, 2))
+    names = [name for name in models(task, 2) if only is None or name in only]
+    if only is not None and len(names) != len(set(only)):
+        raise ValueError(f"the models of {task} are {list(models(task, 2))}, not all of {list(only)}")
+    metrics = METRICS[task]
     blank = (None,) * len(metrics)
     # held for the fits below, which pass over the rows many times; lost blocks are computed again
     prepared = prepare_rows(df, target, task).persist(StorageLevel.MEMORY_AND_DISK)
@@ -114,9 +119,10 @@ def _evaluate_rows(df, target, task, seed, train_percent, text_chars, train_step
             part.persist(StorageLevel.MEMORY_AND_DISK)
             held.append(part)
         rows = []
-        for name, model in models(task, features.max_bins).items():
+        fresh = models(task, features.max_bins)
+        for name in names:
             try:
-                scored = model.fit(train).transform(test).select("label", "prediction")
+                scored = fresh[name].fit(train).transform(test).select("label", "prediction")
                 if task == "regression":
                     if inverse is not None:
                         scored = scored.select(*[inverse(F.col(c)).alias(c) for c in scored.columns])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -633,17 +634,17 @@ def max_bins(spark, sf_dir):
 _GUESS = "o_custkey % 3 AS label, o_orderkey % 3 AS prediction"
 
 
-@query(
-    "class_metrics",
-    f"""WITH p AS (SELECT {_GUESS} FROM orders),
-s AS (SELECT c, (SELECT count(*) FROM p WHERE label = c) AS a, (SELECT count(*) FROM p WHERE prediction = c) AS g,
+# Weighted scores over ``p(label, prediction)``.
+_SCORES = """s AS (SELECT c, (SELECT count(*) FROM p WHERE label = c) AS a, (SELECT count(*) FROM p WHERE prediction = c) AS g,
   (SELECT count(*) FROM p WHERE label = c AND prediction = c) AS t
   FROM (SELECT label AS c FROM p UNION SELECT prediction FROM p)),
 m AS (SELECT a, t, coalesce(t / nullif(g, 0)::DOUBLE, 0) AS p, coalesce(t / nullif(a, 0)::DOUBLE, 0) AS r FROM s)
-SELECT round(100 * sum(t)::DOUBLE / sum(a), 2) AS accuracy,
+SELECT {}round(100 * sum(t)::DOUBLE / sum(a), 2) AS accuracy,
   round(100 * sum(a * coalesce(2 * p * r / nullif(p + r, 0), 0)) / sum(a), 2) AS f1,
-  round(100 * sum(a * p) / sum(a), 2) AS "precision", round(100 * sum(a * r) / sum(a), 2) AS recall FROM m""",
-)
+  round(100 * sum(a * p) / sum(a), 2) AS "precision", round(100 * sum(a * r) / sum(a), 2) AS recall FROM m"""
+
+
+@query("class_metrics", f"WITH p AS (SELECT {_GUESS} FROM orders),\n" + _SCORES.format(""))
 def class_metrics(spark, sf_dir):
     return sw.classification_metrics(table(spark, sf_dir, "orders").selectExpr(*_GUESS.split(", ")))
 
@@ -671,6 +672,99 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.join(labels, "doc_id").drop("doc_id")
 
 
+_PARTED = """, parted AS (SELECT *, {} % 100 < 80 AS train FROM rows)
+"""
+
+
+def _split_rows(select: str, columns: tuple[str, ...]) -> str:
+    return f"WITH rows AS ({select})" + _PARTED.format(sql.hex_number(sql.digest(columns), 8))
+
+
+@query(
+    "eval_linear_regression",
+    _split_rows("SELECT l_quantity, l_extendedprice FROM lineitem", ("l_quantity", "l_extendedprice"))
+    + """, line AS (SELECT regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS start
+  FROM parted WHERE train)
+SELECT 'Linear Regression' AS model, 'ok' AS status, round(sqrt(avg(e * e)), 3) AS rmse, round(avg(e * e), 3) AS mse,
+  NULL::VARCHAR AS error
+FROM (SELECT l_extendedprice - start - slope * l_quantity AS e FROM parted, line WHERE NOT train)""",
+)
+def eval_linear_regression(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice")
+    return sw.evaluate(lines, "l_extendedprice", "regression", only=["Linear Regression"])
+
+
+@query(
+    "feature_vectors",
+    f"""SELECT p.x AS label, o_custkey::DOUBLE AS f0, s.x AS f1, o_totalprice AS f2
+FROM orders JOIN {sql.ranks('orders', 'o_orderpriority')} p ON o_orderpriority = p.v
+JOIN {sql.ranks('orders', 'o_orderstatus')} s ON o_orderstatus = s.v""",
+)
+def feature_vectors(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    fitted = sw.fit_features(orders, "o_orderpriority", "classification")
+    cells = vector_to_array("features")
+    return fitted.transform(orders).select("label", *[cells[i].alias(f"f{i}") for i in range(3)])
+
+
+def _vector_summary(vectors: DataFrame) -> DataFrame:
+    """Label, number of occupied slots and their sum. The JSON form of a vector lists just the occupied slots."""
+    values = F.from_json(F.get_json_object(F.to_json(F.struct("features")), "$.features.values"), "array<double>")
+    total = F.aggregate("v", F.lit(0.0), lambda a, b: a + b)
+    counted = vectors.select("label", values.alias("v"))
+    return counted.select("label", F.size("v").alias("n_slots"), F.round(total, 3).alias("total"))
+
+
+# Words end at a single blank, so two blanks enclose an empty word; empty words at the end do not count.
+_WORDS = r"regexp_split_to_array(regexp_replace(lower(text), '\s+$', ''), '\s')"
+
+
+@query(
+    "hashed_words",
+    f"SELECT doc_id::DOUBLE AS label, round(len({_WORDS})::DOUBLE, 3) AS total FROM documents",
+)
+def hashed_words(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fitted = sw.fit_features(documents, "doc_id", "classification")
+    return _vector_summary(fitted.transform(documents)).select("label", "total")
+
+
+_TOKENS = f"SELECT id, unnest({_WORDS}) AS word FROM texts"
+
+
+@query(
+    "tfidf_words",
+    f"""WITH texts AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations),
+counts AS (SELECT id, word, count(*) AS tf FROM ({_TOKENS}) GROUP BY id, word),
+weights AS (SELECT word, ln(((SELECT count(*) FROM texts) + 1) / (count(*) + 1)::DOUBLE) AS idf FROM counts GROUP BY word)
+SELECT id::DOUBLE AS label, count(*)::INTEGER AS n_slots, round(sum(tf * idf), 3) AS total
+FROM counts JOIN weights USING (word) GROUP BY id""",
+)
+def tfidf_words(spark, sf_dir):
+    texts = table(spark, sf_dir, "conversations").selectExpr("conv_id * 1000 + turn AS id", "text")
+    fitted = sw.fit_features(texts, "id", "text_classification")
+    return _vector_summary(fitted.transform(texts))
+
+
+_BAYES = (
+    _split_rows("SELECT text, quality FROM documents JOIN labels USING (doc_id)", ("text", "quality"))
+    + f""", texts AS (SELECT row_number() OVER () AS id, text, quality, train FROM parted),
+counts AS (SELECT id, word, count(*) AS tf FROM ({_TOKENS}) GROUP BY id, word),
+learned AS (SELECT * FROM counts JOIN texts USING (id) WHERE train),
+weights AS (SELECT word, ln(((SELECT count(*) FROM texts WHERE train) + 1) / (count(*) + 1)::DOUBLE) AS idf
+  FROM learned GROUP BY word),
+sums AS (SELECT quality, word, sum(tf * idf) AS s FROM learned JOIN weights USING (word) GROUP BY quality, word),
+classes AS (SELECT quality, ln(count(*) + 1) - ln(sum(count(*)) OVER () + 2) AS prior FROM texts WHERE train GROUP BY quality),
+norms AS (SELECT quality, ln(sum(s) + (SELECT count(*) FROM weights)) AS norm FROM sums GROUP BY quality),
+scores AS (SELECT id, c.quality, any_value(prior) + coalesce(sum(tf * idf * (ln(coalesce(s, 0) + 1) - norm)), 0) AS score
+  FROM texts t CROSS JOIN classes c JOIN norms n ON n.quality = c.quality LEFT JOIN counts USING (id)
+  LEFT JOIN weights w ON w.word = counts.word LEFT JOIN sums ON sums.quality = c.quality AND sums.word = w.word
+  WHERE NOT train GROUP BY id, c.quality),
+p AS (SELECT t.quality AS label, arg_max(s.quality, s.score) AS prediction FROM texts t JOIN scores s USING (id) GROUP BY id, t.quality),
+"""
+)
+
+
 @query("eval_regression")
 def eval_regression(spark, sf_dir):
     return sw.evaluate(table(spark, sf_dir, "orders"), "o_totalprice", "regression")
@@ -686,7 +780,7 @@ def eval_classification_words(spark, sf_dir):
     return sw.evaluate(labelled(spark, sf_dir).select("text", "lang", "quality"), "quality", "classification")
 
 
-@query("eval_text")
+@query("eval_text", _BAYES + _SCORES.format("'Naive Bayes' AS model, 'ok' AS status, NULL::VARCHAR AS error, "))
 def eval_text(spark, sf_dir):
     return sw.evaluate(labelled(spark, sf_dir).select("text", "quality"), "quality", "text_classification")
 
