@@ -785,6 +785,30 @@ def eval_text(spark, sf_dir):
     return sw.evaluate(labelled(spark, sf_dir).select("text", "quality"), "quality", "text_classification")
 
 
+def _linear_scores(version: str, source: str) -> str:
+    return f"""SELECT '{version}' AS version, round(sqrt(avg(e * e)), 3) AS rmse, round(avg(e * e), 3) AS mse FROM (
+  SELECT value - start - slope * user_id AS e FROM {source},
+    (SELECT regr_slope(value, user_id) AS slope, regr_intercept(value, user_id) AS start FROM {source} WHERE train)
+  WHERE NOT train)"""
+
+
+@query(
+    "compare_linear_versions",
+    _split_rows("SELECT user_id, value FROM events", ("user_id", "value"))
+    + f""", inside AS (SELECT * FROM parted WHERE {_bounds('user_id', 'parted')}),
+scores AS ({_linear_scores('raw', 'parted')} UNION ALL {_linear_scores('cleaned', '(SELECT DISTINCT * FROM inside)')})
+SELECT version, 'Linear Regression' AS model, 'ok' AS status, rmse, mse,
+  CASE WHEN version = 'cleaned' THEN round(rmse - (SELECT rmse FROM scores WHERE version = 'raw'), 3) END AS rmse_change,
+  CASE WHEN version = 'cleaned' THEN round(mse - (SELECT mse FROM scores WHERE version = 'raw'), 3) END AS mse_change,
+  NULL::VARCHAR AS error
+FROM scores""",
+)
+def compare_linear_versions(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "value")
+    plan = sw.CleaningPlan("value").remove_outliers(mode="exact").drop_duplicates()
+    return sw.compare(events, plan, "value", "regression", only=["Linear Regression"])
+
+
 @query("compare_versions")
 def compare_versions(spark, sf_dir):
     plan = sw.CleaningPlan("value").drop_duplicates().remove_outliers().fix_skew("log")
