@@ -53,7 +53,7 @@ def test_maps_are_refused(spark):
         sw.drop_duplicates(df)
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from(["a", "b", "", None]), st.integers(0, 2)), min_size=1, max_size=30))
 def test_any_rows(spark, data):
     df = spark.createDataFrame(data, "s string, n int")

@@ -22,7 +22,7 @@ def test_exact_on_spread_and_heavy_values(spark, limits):
     check(spark, [3.0] * 300, **limits)
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(-5, 5).map(float), min_size=1, max_size=60))
 def test_selection_equals_sorting(spark, values):
     check(spark, values, direct_limit=2, sort_limit=1)

@@ -66,7 +66,7 @@ def test_cells_do_not_run_into_each_other(spark):
     assert sorted(r["y"] for r in sw.oversample(df, "y").collect()) == [0, 0, 0, 1, 1, 1]
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from([0, 1, None]), st.integers(0, 2)), min_size=1, max_size=30))
 def test_any_classes(spark, data):
     df = spark.createDataFrame(data, "y int, x int")

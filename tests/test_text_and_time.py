@@ -30,7 +30,7 @@ def test_clean_text(spark):
     assert cleaned(spark, CASES) == [expected(t) for t in CASES]
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet="aBz.:/ \t\n  httpw", max_size=40), min_size=1, max_size=20))
 def test_any_text(spark, texts):
     once = cleaned(spark, texts)
