@@ -86,15 +86,6 @@ def require_groupable(df: DataFrame, names: Sequence[str]) -> None:
         raise ValueError(f"map columns cannot be compared for equality, drop or convert them first: {bad}")
 
 
-def fresh_name(taken: Iterable[str], base: str) -> str:
-    """``base``, or ``base_2``, ``base_3`` … when it exists already."""
-    used, name, i = {t.lower() for t in taken}, base, 1
-    while name.lower() in used:
-        i += 1
-        name = f"{base}_{i}"
-    return name
-
-
 def as_double(df: DataFrame, name: str) -> Column:
     """The column as double, NaN read as NULL (quantiles, bounds and moments skip both)."""
     value = ref(name).cast("double")

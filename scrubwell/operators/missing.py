@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrubwell.functions.columns import (
-    aggregate_row, as_double, is_floating, is_numeric, is_string, numeric_columns, ref, report, require, string_columns,
+    aggregate_row, as_double, is_floating, is_numeric, numeric_columns, ref, report, require, string_columns,
 )
 from scrubwell.functions.quantiles import quantiles
 from scrubwell.functions.stats import missing
