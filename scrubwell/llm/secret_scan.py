@@ -21,7 +21,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrubwell.llm.batches import ids_and_texts, pieces, texts
@@ -169,7 +169,10 @@ def span_digests(scanned: DataFrame) -> DataFrame:
     """Counts of the pattern kinds, and spans written as ``kind:start:end``, joined by commas."""
     written = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))  # noqa: E731, E501
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
-    counts = {f"n_{k}": F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint") for k in BASE_KINDS}
+
+    def number_of(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+
     return scanned.select(
-        "doc_id", *[c.alias(n) for n, c in counts.items()], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans")
+        "doc_id", *[number_of(k).alias(f"n_{k}") for k in BASE_KINDS], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans")
     )
