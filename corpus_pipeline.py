@@ -7,11 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scrubwell.functions.storage import fresh_path
-from scrubwell.llm import decontamination, mixing
+from scrubwell.llm import decontamination, minhash, mixing, toxicity
 from scrubwell.llm.batches import reach_workers
 from scrubwell.llm.queries import table, token_table
 
 
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return minhash.drop_near_duplicates(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     return decontamination.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -28,6 +38,8 @@ def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", remove_toxic),
+    ("minhash near-dedup", remove_near_duplicates),
     ("decontamination", decontaminate),
     ("mixing", mix_sources),
     ("token files", write_token_ids),

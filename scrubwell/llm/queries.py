@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubwell.functions.storage import fresh_path
-from scrubwell.llm import chat, decontamination, mixing, secret_scan, token_files
+from scrubwell.llm import chat, decontamination, embedding_dedup, minhash, mixing, secret_scan, token_files, toxicity
 from scrubwell.llm.batches import reach_workers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +113,35 @@ def op4_token_files(spark, sf_dir):
     return token_table(spark, table(spark, sf_dir, "documents"))
 
 
+@query("op5_toxicity")
+def op5_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.predictions(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"]))
+
+
+@query(
+    "op6_embedding_dedup",
+    """
+    WITH RECURSIVE vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+    reach(node, root) AS (
+      SELECT vec_id, vec_id FROM vectors UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node WHERE r.root < l.b),
+    least AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node),
+    n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT v.vec_id, coalesce(n.n, 0) AS n_links, l.component_id, v.vec_id = l.component_id AS kept
+    FROM vectors v JOIN least l ON l.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+    """,
+)
+def op6_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_minhash_dedup")
+def op10_minhash_dedup(spark, sf_dir):
+    """A row per document with its group: class_id, class_size, and whether it is the one that stays."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("row")
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
