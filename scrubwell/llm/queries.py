@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubwell.functions.storage import fresh_path
-from scrubwell.llm import chat, decontamination, embedding_dedup, minhash, mixing, secret_scan, token_files, toxicity
+from scrubwell.llm import (
+    chat, decontamination, embedding_dedup, line_dedup, minhash, mixing, secret_scan, token_counts, token_files, toxicity,
+)
 from scrubwell.llm.batches import reach_workers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +138,51 @@ def op6_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query(
+    "op8_token_rollups",
+    """
+    WITH versions AS (SELECT unnest(['blanks-1', 'words-1']) AS version),
+    alive AS (
+      SELECT d.source, d.lang, CASE WHEN l.quality = 0 THEN regexp_replace(d.text, '[0-9]+', '', 'g') ELSE d.text END AS text
+      FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.toxic IS DISTINCT FROM 1),
+    counted AS (
+      SELECT source, lang, version, CASE version WHEN 'blanks-1' THEN len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))
+             ELSE len(regexp_extract_all(text, '[A-Za-z0-9]+|[^\x00-\x7F]+')) END AS tokens
+      FROM alive, versions)
+    SELECT source, lang, version, count(*) AS documents, CAST(sum(coalesce(tokens, 0)) AS BIGINT) AS tokens FROM counted GROUP BY ALL
+    """,
+)
+def op8_token_rollups(spark, sf_dir):
+    """All documents are inserted, those of low quality revised (without digits), toxic ones deleted; one batch is sent twice."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    masked = docs.withColumn("text", F.regexp_replace("text", "[0-9]++", ""))
+
+    def both(texts: DataFrame) -> DataFrame:
+        first, second = (token_counts.count_tokens(texts, v) for v in token_counts.NATIVE)
+        return first.union(second)
+
+    store = fresh_path(spark, "rollups")
+    low, toxic = (labels.filter(f).select("doc_id") for f in ("quality = 0", "toxic = 1"))
+    gone = toxic.select("doc_id", F.explode(F.array(*map(F.lit, token_counts.NATIVE))).alias("version"))
+    deletes = gone.select(F.lit("delete").alias("op"), "doc_id", *[F.lit(None).cast("string").alias(c) for c in ("source", "lang")], "version", F.lit(None).cast("bigint").alias("tokens"), F.lit(0).alias("seq"))
+    revised = token_counts.changes(both(masked).join(low, "doc_id", "left_semi"), "revise")
+    token_counts.commit(store, "1", token_counts.changes(both(docs), "insert"))
+    token_counts.commit(store, "2", revised)
+    token_counts.commit(store, "3", deletes)
+    token_counts.commit(store, "2", revised)
+    return token_counts.totals(spark, store)
+
+
+@query("op9_line_dedup")
+def op9_line_dedup(spark, sf_dir):
+    """Per document: lines, deleted lines and a digest of the text that is left."""
+    found = line_dedup.repeated_lines(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select(
+        "row.doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.size("deleted").cast("bigint").alias("n_deleted"),
+        F.concat_ws(",", F.col("deleted").cast("array<string>")).alias("deleted"), F.sha2("kept_text", 256).alias("kept_sha256"),
+    )
+
+
 @query("op10_minhash_dedup")
 def op10_minhash_dedup(spark, sf_dir):
     """A row per document with its group: class_id, class_size, and whether it is the one that stays."""
