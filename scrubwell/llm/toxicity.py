@@ -118,6 +118,9 @@ def votes(found: set[str], n_words: int, hits: list[tuple[str, ...]], learned: f
 
 
 _FIXED = frozenset(INSULTS)
+_COUNTS = pa.schema([("term", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())])
+_VOTES = pa.schema([("code", pa.int64()), ("mark", pa.int64()), ("n", pa.int64())])
+_POSTERIOR = pa.schema([("terms", pa.list_(pa.string())), ("p", pa.float64())])
 
 
 @dataclass
@@ -237,7 +240,8 @@ def _learn_terms(sample: DataFrame, most: int, evidence: float) -> list[str]:
 
         def drained() -> pa.RecordBatch:
             names = list({*counts[0], *counts[1]})
-            out = pa.RecordBatch.from_pydict({"term": names, "clean": [counts[0][t] for t in names], "toxic": [counts[1][t] for t in names]})
+            values = {"term": names, "clean": [counts[0][t] for t in names], "toxic": [counts[1][t] for t in names]}
+            out = pa.RecordBatch.from_pydict(values, schema=_COUNTS)
             for c in counts:
                 c.clear()
             return out
@@ -273,7 +277,8 @@ def _vote_counts(texts: DataFrame, learned: frozenset[str], label: str | None =
             for text, mark in zip(text_bytes(batch), marks, strict=True):
                 counts[votes(*text_terms(text, terms), learned), mark] += 1
         keys = list(counts)
-        yield pa.RecordBatch.from_pydict({"code": [c for c, _ in keys], "mark": [m for _, m in keys], "n": [counts[k] for k in keys]})
+        values = {"code": [c for c, _ in keys], "mark": [m for _, m in keys], "n": [counts[k] for k in keys]}
+        yield pa.RecordBatch.from_pydict(values, schema=_VOTES)
 
     counted = texts.mapInArrow(count, "code bigint, mark bigint, n bigint").groupBy("code", "mark").agg(F.sum("n").alias("n"))
     return Counter({(r["code"], r["mark"]): r["n"] for r in counted.collect()})
@@ -303,7 +308,7 @@ def train(
         for batch in pieces(batches):
             found = [text_terms(t, terms) for t in text_bytes(batch)]
             p = model.posterior(np.array([votes(*f, learned) for f in found], dtype=np.int64))
-            yield pa.RecordBatch.from_pydict({"terms": [sorted(f[0]) for f in found], "p": p})
+            yield pa.RecordBatch.from_pydict({"terms": [sorted(f[0]) for f in found], "p": p}, schema=_POSTERIOR)
 
     labelled = stored(more.select("text").union(sample.select("text")).mapInArrow(label, "terms array<string>, p double"), "posterior")
     if labelled.isEmpty():

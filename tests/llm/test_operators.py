@@ -197,6 +197,7 @@ def test_toxicity_of_odd_rows(spark, documents):
     rows = [(i, "calm words about the weather of day " + str(i)) for i in range(200)] + [(i, f"you idiot and loser of day {i} go away now") for i in range(200, 260)]
     docs = documents(*rows, *[(900 + (r[0] or 0), r[1]) for r in ODD], (None, "you idiot and loser"))
     labels = spark.createDataFrame([(i, int(i >= 200)) for i in range(260)] + [(None, 1), (3, None), (7, 0)], "doc_id long, toxic int")
+    assert toxicity.drop_toxic(docs.filter("doc_id < 200").coalesce(1), labels).count() == 200  # no term in any text
     kept = toxicity.drop_toxic(docs, labels)
     assert kept.columns == docs.columns
     assert kept.count() == 200 + len(ODD)
