@@ -86,6 +86,15 @@ def require_groupable(df: DataFrame, names: Sequence[str]) -> None:
         raise ValueError(f"map columns cannot be compared for equality, drop or convert them first: {bad}")
 
 
+def unused_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, or with the first number from 2 on that makes it unlike all of ``taken`` (in lower case)."""
+    free = name
+    number = 2
+    while free.lower() in taken:
+        free, number = f"{name}_{number}", number + 1
+    return free
+
+
 def as_double(df: DataFrame, name: str) -> Column:
     """The column as double, NaN read as NULL (quantiles, bounds and moments skip both)."""
     value = ref(name).cast("double")

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubwell.functions.columns import empty, name_table, ref
+from pyspark.sql import types as T
+
+from scrubwell.functions.columns import empty, is_floating, name_table, ref
 
 SCHEMA = "column string, value string, n bigint"
 SUMMARY_SCHEMA = "column string, n_rows bigint, n_values bigint, entropy double, n_rare bigint"
@@ -28,7 +30,12 @@ def frequencies(df: DataFrame, names: Sequence[str], keep_values: bool = True) -
         return empty(df, SCHEMA)
     cells = []
     for n in names:
-        cell = ref(n).cast("string")
+        value = ref(n)
+        if is_floating(df.schema[n]):
+            value = F.when(value == 0, F.abs(value)).otherwise(value)  # 0.0 and -0.0 are one value
+        elif isinstance(df.schema[n].dataType, T.TimestampType) and not keep_values:
+            value = F.unix_micros(value)  # two instants of the hour that is repeated in autumn print alike
+        cell = value.cast("string")
         if not keep_values:
             cell = F.when(F.length(cell) > INLINE_CHARS, F.concat(F.lit("#"), F.sha2(cell, 256))).otherwise(
                 F.concat(F.lit("="), cell)

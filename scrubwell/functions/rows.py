@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scrubwell.functions.columns import ref
 from scrubwell.functions.storage import cut_lineage
@@ -16,13 +17,28 @@ PIECE = 1 << 20
 BROADCAST_KEYS = 2_000_000
 
 
-def content_digest(names: Sequence[str], seed: int | str) -> Column:
-    """MD5 of the named cells. Each cell is written with its length, so only equal rows have equal input."""
-    cells = []
-    for n in names:
-        text = ref(n).cast("string")
-        cells.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("N")))
-    return F.md5(F.concat(F.lit(f"{seed}|"), *cells))
+def _written(value: Column, kind: T.DataType) -> Column:
+    """A cell as text that only equal cells of its type share: length and text, nested cells inside with their own."""
+    if isinstance(kind, T.ArrayType):
+        text = F.array_join(F.transform(value, lambda item: _written(item, kind.elementType)), "")
+        text = F.concat(F.size(value).cast("string"), F.lit("["), text)
+    elif isinstance(kind, T.StructType):
+        text = F.concat(F.lit("{"), *[_written(value.getField(f.name), f.dataType) for f in kind.fields])
+        text = F.when(value.isNotNull(), text)
+    elif isinstance(kind, (T.FloatType, T.DoubleType)):
+        text = F.when(value == 0, F.abs(value)).otherwise(value).cast("string")  # 0.0 and -0.0 are equal
+    elif isinstance(kind, T.TimestampType):
+        text = F.unix_micros(value).cast("string")  # the instant, whatever the session's zone prints
+    elif isinstance(kind, T.BinaryType):
+        text = F.hex(value)
+    else:
+        text = value.cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("N"))
+
+
+def content_digest(df: DataFrame, names: Sequence[str], seed: int | str) -> Column:
+    """MD5 of the named cells of ``df``. Each cell is written with its length, so only equal rows have equal input."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), *[_written(ref(n), df.schema[n].dataType) for n in names]))
 
 
 def digest_number(digest: Column, hex_digits: int) -> Column:

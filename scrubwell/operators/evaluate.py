@@ -12,11 +12,11 @@ from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, Rando
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubwell.functions.columns import local_rows, require, string_columns
+from scrubwell.functions.columns import local_rows, ref, require, string_columns
 from scrubwell.functions.rows import content_digest
 from scrubwell.operators.features import TASKS, TEXT_CHARS, fit_features, prepare_rows, text_features
 from scrubwell.operators.metrics import classification_metrics, regression_metrics
-from scrubwell.operators.resample import SEED, TRAIN_PERCENT, train_test_split
+from scrubwell.operators.resample import SEED, TRAIN_PERCENT, split_point
 from scrubwell.operators.timestamps import timestamp_features
 from scrubwell.plans.cleaning import CleaningPlan
 
@@ -46,11 +46,28 @@ def models(task: str, bins: int) -> dict[str, object]:
     raise ValueError(f"unknown task {task!r}, expected one of {', '.join(TASKS)}")
 
 
+# Rows of a partition while models are fitted, and the fewest partitions. Bagging in a forest follows the partitions, so
+# their number must come from the table and not from the machine.
+PARTITION_ROWS = 100_000
+PARTITIONS = 8
+COUNTS = ("n_train", "n_test", "n_scored")
+# Signs of a failing cluster in an error. Such an error says nothing about the model and is passed on.
+CLUSTER_FAILURES = (
+    "ExecutorLostFailure", "OutOfMemoryError", "FetchFailed", "No space left", "java.io.IOException", "shut down", "cancelled",
+)
+
+
 def result_schema(task: str) -> str:
-    return "model string, status string, " + ", ".join(f"{m} double" for m in METRICS[task]) + ", error string"
+    return (
+        "model string, status string, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", "
+        + ", ".join(f"{m} double" for m in METRICS[task]) + ", error string"
+    )
 
 
-def _first_line(error: Exception) -> str:
+def _reason(error: Exception) -> str:
+    """The first line of an error of the model or its input; an error of the cluster is raised again."""
+    if any(sign in str(error) for sign in CLUSTER_FAILURES):
+        raise error
     lines = str(error).strip().splitlines()
     return lines[0] if lines else type(error).__name__
 
@@ -70,25 +87,15 @@ def evaluate(
 
     Features are fitted once and shared by the models, which read them from a persisted table. ``train_steps`` are
     cleaning steps for the training rows alone, ``inverse`` maps labels and predictions back to the scale in which a
-    regression is to be scored, ``only`` names the models to fit. A model that fails gives a row with ``status`` "failed" and the first line of the
-    error.
+    regression is to be scored, ``only`` names the models to fit. Beside the metrics stand the numbers of rows trained on,
+    set apart for the test, and scored; the last is smaller where test rows hold values that no training row has. A model
+    that fails, or scores no row, gives a row with ``status`` "failed" and the first line of the error. Lost executors and
+    full disks are no property of a model: such errors are raised.
     """
     rows = _evaluate_rows(df, target, task, seed, train_percent, text_chars, train_steps, inverse, only)
     return local_rows(df.sparkSession, rows, result_schema(task))
 
 
-def _spread(df: DataFrame, seed: int) -> DataFrame:
-    """Rows over all cores when the source has fewer partitions than that, as a table in one small file has.
-
-    Fitting is bound by computation, so idle cores cost more than this shuffle. Large tables are left as they are.
-    ``df`` is persisted, so asking for its partitions computes nothing twice.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, content_digest(df.columns, seed))
-
-
 def _evaluate_rows(
     df, target, task, seed, train_percent, text_chars, train_steps, inverse, only=None
 ) -> list[tuple]:
@@ -98,40 +105,52 @@ def _evaluate_rows(
         raise ValueError(f"the models of {task} are {list(models(task, 2))}, not all of {list(only)}")
     metrics = METRICS[task]
     blank = (None,) * len(metrics)
-    # held for the fits below, which pass over the rows many times; lost blocks are computed again
-    prepared = prepare_rows(df, target, task).persist(StorageLevel.MEMORY_AND_DISK)
-    held = [prepared]
+    held = []
+
+    def hold(part: DataFrame) -> DataFrame:
+        """Kept for the passes below, of which fits make many; lost blocks are computed again."""
+        held.append(part.persist(StorageLevel.MEMORY_AND_DISK))
+        return held[-1]
+
     try:
-        prepared = _spread(prepared, seed)
-        train, test = train_test_split(prepared, train_percent, seed)
+        prepared = prepare_rows(df, target, task)
+        columns = [ref(c) for c in prepared.columns]
+        digest = content_digest(prepared, prepared.columns, seed)
+        marked = prepared.select(*columns, digest.alias("__digest"), split_point(prepared, seed).alias("__point"))
+        parts = max(PARTITIONS, -(-marked.count() // PARTITION_ROWS))
+        marked = hold(marked.repartition(parts, "__digest").sortWithinPartitions("__digest"))
+        train = marked.filter(F.col("__point") < train_percent).select(*columns)
+        test = marked.filter(F.col("__point") >= train_percent).select(*columns)
+        n_test = test.count()
         if train_steps is not None:
-            train = train_steps.apply(train)
+            train = hold(train_steps.apply(train))
         try:
             texts = (
-                text_features(prepared, string_columns(prepared, [target]), text_chars)
+                text_features(marked, string_columns(prepared, [target]), text_chars)
                 if task == "classification" else None
             )
             features = fit_features(train, target, task, texts)
-            train, test = features.transform(train), features.transform(test)
+            train, test = hold(features.transform(train)), hold(features.transform(test))
+            counts = (train.count(), n_test, test.count())
         except Exception as error:
-            return [(name, "failed", *blank, _first_line(error)) for name in names]
-        for part in (train, test):
-            part.persist(StorageLevel.MEMORY_AND_DISK)
-            held.append(part)
+            reason = _reason(error)
+            return [(name, "failed", None, n_test, None, *blank, reason) for name in names]
         rows = []
         fresh = models(task, features.max_bins)
         for name in names:
             try:
                 scored = fresh[name].fit(train).transform(test).select("label", "prediction")
+                if counts[-1] == 0:
+                    raise ValueError("no test row could be scored")
                 if task == "regression":
                     if inverse is not None:
                         scored = scored.select(*[inverse(F.col(c)).alias(c) for c in scored.columns])
                     values = regression_metrics(scored).first()
                 else:
                     values = classification_metrics(scored).first()
-                rows.append((name, "ok", *values, None))
+                rows.append((name, "ok", *counts, *values, None))
             except Exception as error:
-                rows.append((name, "failed", *blank, _first_line(error)))
+                rows.append((name, "failed", *counts, *blank, _reason(error)))
         return rows
     finally:
         for part in held:
@@ -169,11 +188,12 @@ def compare(
     before = _evaluate_rows(raw, target, task, train_steps=None, inverse=None, **settings)
     after = _evaluate_rows(cleaned_rows, target, task, train_steps=train_steps, inverse=inverse, **settings)
     names = METRICS[task]
-    base = {row[0]: row[2:2 + len(names)] for row in before}
+    first = 2 + len(COUNTS)
+    base = {row[0]: row[first:-1] for row in before}
     rows = []
     for version, found in (("raw", before), ("cleaned", after)):
         for row in found:
-            values = row[2:2 + len(names)]
+            values = row[first:-1]
             changes = tuple(
                 round(v - b, 3) if version == "cleaned" and v is not None and b is not None else None
                 for v, b in zip(values, base[row[0]])
@@ -181,6 +201,7 @@ def compare(
             rows.append((version, *row[:-1], *changes, row[-1]))
     schema = (
         "version string, model string, status string, "
+        + ", ".join(f"{c} bigint" for c in COUNTS) + ", "
         + ", ".join(f"{m} double" for m in names) + ", "
         + ", ".join(f"{m}_change double" for m in names) + ", error string"
     )

@@ -13,21 +13,18 @@ from pyspark.sql import types as T
 
 from scrubwell.functions.columns import aggregate_row, is_string, numeric_columns, ref, require, string_columns
 from scrubwell.functions.frequencies import categorical_summary
-from scrubwell.functions.indexing import frequency_index
 from scrubwell.operators.missing import fill_columns
 from scrubwell.operators.timestamps import expand_dates
 
 TASKS = ("regression", "classification", "text_classification")
-# Fills, the mean length above which a string counts as text, vocabulary size, and the smallest
-# number of categories that decides the bins of a tree.
+# Fills, the mean length above which a string counts as text, and the smallest number of categories
+# that decides the bins of a tree.
 MISSING_TEXT = "missing"
 MISSING_NUMBER = {"regression": -1, "classification": -1, "text_classification": 0}
 TEXT_CHARS = 15
-VOCABULARY = 100_000
+# No word is left out: this is as many slots as a vector can have. The words themselves are held by the driver.
+VOCABULARY = 2**31 - 1
 MIN_CATEGORIES = 32
-# A string feature with more values than this is numbered by a distributed ranking and enters as a plain number;
-# below it the labels fit on the driver and trees treat the feature as categorical.
-MAX_CATEGORIES = 10_000
 
 
 def prepare_rows(df: DataFrame, target: str, task: str) -> DataFrame:
@@ -79,12 +76,12 @@ def fit_features(
     target: str,
     task: str,
     text_columns: list[str] | None = None,
-    max_categories: int = MAX_CATEGORIES,
 ) -> Features:
     """Fit on prepared training rows; the result maps prepared rows to ``(label, features)``.
 
     Regression numbers every string by frequency. Classification hashes the words of text columns and numbers the
-    other strings. The text task weighs the words of every string by TF-IDF. Rows with a string value or label that
+    other strings. However many values a string has, trees treat its numbers as categories; a model that cannot hold
+    so many fails, and says so. The text task weighs the words of every string by TF-IDF. Rows with a string value or label that
     the training rows lack are dropped, as a number for it does not exist.
     """
     names = [c for c in train.columns if c != target]
@@ -104,10 +101,7 @@ def fit_features(
         return df.select(*[ref(c).alias(safe[c]) for c in names], label.alias("y"))
 
     base = plain(train)
-    sizes = aggregate_row(base, [F.approx_count_distinct(safe[c]) for c in categories])
-    many = [safe[c] for c, k in zip(categories, sizes) if k > max_categories]
-    few = [safe[c] for c in categories if safe[c] not in many]
-    ranked = {c: frequency_index(base, c) for c in many}
+    few = [safe[c] for c in categories]
 
     inputs, stages = [], []
     for c in names:
@@ -131,12 +125,7 @@ def fit_features(
         stages.append(StringIndexer(inputCol="y", outputCol="label", handleInvalid="skip"))
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
 
-    def numbered(df: DataFrame) -> DataFrame:
-        for c, index in ranked.items():
-            df = index.attach(df, ref(c), f"{c}_idx")
-        return df
-
-    model = Pipeline(stages=stages).fit(numbered(base))
+    model = Pipeline(stages=stages).fit(base)
     arity = {}
     if few:
         indexer = next(s for s in model.stages if isinstance(s, StringIndexerModel))
@@ -151,10 +140,9 @@ def fit_features(
     features = F.col("features").alias("features", metadata=_slots(inputs, widths, arity))
 
     def transform(df: DataFrame) -> DataFrame:
-        return model.transform(numbered(plain(df))).select(label, features)
+        return model.transform(plain(df)).select(label, features)
 
-    kinds = {c: "text" if c in texts else "rank" if safe[c] in many else "category" if c in categories else "number"
-             for c in names}
+    kinds = {c: "text" if c in texts else "category" if c in categories else "number" for c in names}
     return Features(transform, 2 * max([MIN_CATEGORIES, *arity.values()]), kinds)
 
 

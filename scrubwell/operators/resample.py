@@ -50,7 +50,7 @@ def undersample(
     require_groupable(df, df.columns)
     columns = [ref(c) for c in df.columns]
     names = list(key) if key else df.columns
-    digest = content_digest(names, seed)
+    digest = content_digest(df, names, seed)
     _, n_classes, quota, _ = _class_sizes(df, target)
     narrow = df.select(ref(target), digest.alias("__digest"))
     cuts = cut_lineage(_cut_digests(narrow, target, quota, n_classes))
@@ -105,7 +105,7 @@ def oversample(df: DataFrame, target: str, seed: int = SEED, piece: int = PIECE)
     require(df, target)
     require_groupable(df, df.columns)
     columns = [ref(c) for c in df.columns]
-    digest = content_digest(df.columns, seed)
+    digest = content_digest(df, df.columns, seed)
     sizes, n_classes, _, largest = _class_sizes(df, target)
     short = sizes.filter(F.col("__size") < largest).withColumn("__need", F.lit(largest) - F.col("__size"))
     draws = repeat_rows(short, F.col("__need"), [F.col("__class")], index="__draw", piece=piece)
@@ -171,7 +171,7 @@ def resample(df: DataFrame, target: str, method: str, seed: int = SEED) -> DataF
 
 def split_point(df: DataFrame, seed: int = SEED, key: Sequence[str] | None = None):
     """A number from 0 to 99 that depends on the content of the row only."""
-    return digest_number(content_digest(list(key) if key else df.columns, seed), 8) % 100
+    return digest_number(content_digest(df, list(key) if key else df.columns, seed), 8) % 100
 
 
 def train_test_split(

@@ -60,7 +60,8 @@ def high_skew_lines(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[dict[s
 
 
 def above_threshold(skews: DataFrame, threshold: float) -> DataFrame:
-    high = skews.filter(F.abs("skewness") > threshold)
+    # a column with a NaN has no skewness; NaN would pass as larger than anything
+    high = skews.filter(~F.isnan("skewness") & (F.abs("skewness") > threshold))
     return high.select("column", F.round("skewness", 3).alias("skewness")).orderBy("column")
 
 

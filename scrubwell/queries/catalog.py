@@ -61,6 +61,33 @@ def csv_roundtrip(spark, sf_dir):
     return _csv_copy(spark, sf_dir, "customer").withColumn("c_custkey", F.col("c_custkey").cast("bigint"))
 
 
+def _csv_texts(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    path = fresh_path(spark, "csv")
+    sw.write_csv(rows, path)
+    return sw.read_csv(spark, path, schema=rows.schema, written_here=True)
+
+
+@query("csv_roundtrip_documents", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_roundtrip_documents(spark, sf_dir):
+    return _csv_texts(spark, table(spark, sf_dir, "documents"))
+
+
+@query("csv_roundtrip_pages", "SELECT page_id, url, html FROM pages")
+def csv_roundtrip_pages(spark, sf_dir):
+    return _csv_texts(spark, table(spark, sf_dir, "pages"))
+
+
+_ODD_CELLS = """doc_id, CASE CAST(doc_id % 9 AS INT) WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN concat('  ', lang, ' ') WHEN 3 THEN concat(lang, chr(10), source)
+  WHEN 4 THEN concat('"', lang, '"",') WHEN 5 THEN concat(chr(92), 'N') WHEN 6 THEN concat(lang, chr(13), chr(10), chr(92))
+  WHEN 7 THEN concat(chr(92), chr(92), 'N') ELSE concat(chr(9), lang, ',;') END AS cell"""
+
+
+@query("csv_roundtrip_odd_cells", f"SELECT {_ODD_CELLS} FROM documents")
+def csv_roundtrip_odd_cells(spark, sf_dir):
+    odd = _ODD_CELLS.replace("chr(92), chr(92), 'N'", "char(92), char(92), 'N'")
+    return _csv_texts(spark, table(spark, sf_dir, "documents").selectExpr(*[p for p in (odd.split(", ", 1))]))
+
+
 @query(
     "csv_schema_listing",
     sql.union(
@@ -685,7 +712,8 @@ def _split_rows(select: str, columns: tuple[str, ...]) -> str:
     _split_rows("SELECT l_quantity, l_extendedprice FROM lineitem", ("l_quantity", "l_extendedprice"))
     + """, line AS (SELECT regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS start
   FROM parted WHERE train)
-SELECT 'Linear Regression' AS model, 'ok' AS status, round(sqrt(avg(e * e)), 3) AS rmse, round(avg(e * e), 3) AS mse,
+SELECT 'Linear Regression' AS model, 'ok' AS status, (SELECT count(*) FROM parted WHERE train) AS n_train,
+  count(*) AS n_test, count(*) AS n_scored, round(sqrt(avg(e * e)), 3) AS rmse, round(avg(e * e), 3) AS mse,
   NULL::VARCHAR AS error
 FROM (SELECT l_extendedprice - start - slope * l_quantity AS e FROM parted, line WHERE NOT train)""",
 )
@@ -765,6 +793,82 @@ p AS (SELECT t.quality AS label, arg_max(s.quality, s.score) AS prediction FROM
 )
 
 
+_STATUS_TABLE = "SELECT o_orderstatus, o_totalprice FROM orders"
+_GROUP_MEAN = _split_rows(_STATUS_TABLE, ("o_orderstatus", "o_totalprice"))
+
+
+@query(
+    "eval_tree_on_categories",
+    _GROUP_MEAN
+    + """, means AS (SELECT o_orderstatus, avg(o_totalprice) AS m FROM parted WHERE train GROUP BY o_orderstatus)
+SELECT 'Decision Tree' AS model, 'ok' AS status, (SELECT count(*) FROM parted WHERE train) AS n_train, count(*) AS n_test,
+  count(*) AS n_scored, round(sqrt(avg(e * e)), 3) AS rmse, round(avg(e * e), 3) AS mse, NULL::VARCHAR AS error
+FROM (SELECT o_totalprice - m AS e FROM parted JOIN means USING (o_orderstatus) WHERE NOT train)""",
+)
+def eval_tree_on_categories(spark, sf_dir):
+    """A tree on one category of three values predicts the mean of each."""
+    orders = table(spark, sf_dir, "orders").select("o_orderstatus", "o_totalprice")
+    return sw.evaluate(orders, "o_totalprice", "regression", only=["Decision Tree"])
+
+
+_GRADES = "WHEN '1-URGENT' THEN {} WHEN '2-HIGH' THEN {} WHEN '3-MEDIUM' THEN {} ELSE {} END AS grade"
+
+
+def _certain(models: tuple[str, ...], columns: tuple[str, ...], select: str, figures: str) -> str:
+    """What models must score whose label is a function of one category: everything right."""
+    counted = _split_rows(select, columns) + ", n AS (SELECT count(*) FILTER (train) AS a, count(*) FILTER (NOT train) AS b FROM parted)\n"
+    lines = [
+        f"SELECT '{m}' AS model, 'ok' AS status, a AS n_train, b AS n_test, b AS n_scored, {figures}, NULL::VARCHAR AS error FROM n"
+        for m in models
+    ]
+    return counted + " UNION ALL ".join(lines)
+
+
+_NUMBER_GRADES = "SELECT o_orderkey, o_orderpriority, CASE o_orderpriority " + _GRADES + " FROM orders"
+_URGENT = "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN {} ELSE {} END"
+
+
+@query(
+    "eval_certain_regression",
+    _certain(
+        ("Decision Tree",), ("o_orderkey", "o_orderpriority", "grade"),
+        _NUMBER_GRADES.format("1.0::DOUBLE", "2.0::DOUBLE", "3.0::DOUBLE", "4.0::DOUBLE"), "0.0::DOUBLE AS rmse, 0.0::DOUBLE AS mse",
+    ),
+)
+def eval_certain_regression(spark, sf_dir):
+    """A tree on a number that a category decides, beside a key that says nothing: no error is left."""
+    grade = "CASE o_orderpriority " + _GRADES.format("1D", "2D", "3D", "4D")
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_orderpriority", grade)
+    return sw.evaluate(orders, "grade", "regression", only=["Decision Tree"])
+
+
+@query(
+    "eval_certain_classification",
+    _certain(
+        ("Decision Tree", "Random Forest", "Logistic Regression"), ("o_orderkey", "urgent", "grade"),
+        f"SELECT o_orderkey, {_URGENT.format(1, 0)} AS urgent, {_URGENT.format(0, 1)} AS grade FROM orders",
+        '100.0::DOUBLE AS accuracy, 100.0::DOUBLE AS f1, 100.0::DOUBLE AS "precision", 100.0::DOUBLE AS recall',
+    ),
+)
+def eval_certain_classification(spark, sf_dir):
+    """All three classifiers on a class that one of two features decides: all right."""
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_URGENT.format(1, 0)} AS urgent", f"{_URGENT.format(0, 1)} AS grade")
+    return sw.evaluate(orders, "grade", "classification")
+
+
+@query(
+    "eval_many_categories",
+    """WITH rows AS (SELECT c_name, c_acctbal, c_nationkey FROM customer),
+parted AS (SELECT *, {} % 100 < 80 AS train FROM rows), n AS (SELECT count(*) FILTER (train) AS a, count(*) FILTER (NOT train) AS b FROM parted)
+SELECT 'Decision Tree' AS model, 'failed' AS status, a AS n_train, b AS n_test, 0::BIGINT AS n_scored, NULL::DOUBLE AS rmse, NULL::DOUBLE AS mse,
+  'no test row could be scored' AS error FROM n""".format(sql.hex_number(sql.digest(("c_name", "c_acctbal", "c_nationkey")), 8)),
+)
+def eval_many_categories(spark, sf_dir):
+    """Every customer's name is a value of its own, so no test row has one that was trained on."""
+    customers = table(spark, sf_dir, "customer").select("c_name", "c_acctbal", "c_nationkey")
+    return sw.evaluate(customers, "c_acctbal", "regression", only=["Decision Tree"])
+
+
 @query("eval_regression")
 def eval_regression(spark, sf_dir):
     return sw.evaluate(table(spark, sf_dir, "orders"), "o_totalprice", "regression")
@@ -780,13 +884,18 @@ def eval_classification_words(spark, sf_dir):
     return sw.evaluate(labelled(spark, sf_dir).select("text", "lang", "quality"), "quality", "classification")
 
 
-@query("eval_text", _BAYES + _SCORES.format("'Naive Bayes' AS model, 'ok' AS status, NULL::VARCHAR AS error, "))
+_TEXT_COUNTS = """(SELECT count(*) FROM texts WHERE train) AS n_train, (SELECT count(*) FROM texts WHERE NOT train) AS n_test,
+  (SELECT count(*) FROM p) AS n_scored, """
+
+
+@query("eval_text", _BAYES + _SCORES.format("'Naive Bayes' AS model, 'ok' AS status, NULL::VARCHAR AS error, " + _TEXT_COUNTS))
 def eval_text(spark, sf_dir):
     return sw.evaluate(labelled(spark, sf_dir).select("text", "quality"), "quality", "text_classification")
 
 
 def _linear_scores(version: str, source: str) -> str:
-    return f"""SELECT '{version}' AS version, round(sqrt(avg(e * e)), 3) AS rmse, round(avg(e * e), 3) AS mse FROM (
+    return f"""SELECT '{version}' AS version, (SELECT count(*) FROM {source} WHERE train) AS n_train, count(*) AS n_test,
+  count(*) AS n_scored, round(sqrt(avg(e * e)), 3) AS rmse, round(avg(e * e), 3) AS mse FROM (
   SELECT value - start - slope * user_id AS e FROM {source},
     (SELECT regr_slope(value, user_id) AS slope, regr_intercept(value, user_id) AS start FROM {source} WHERE train)
   WHERE NOT train)"""
@@ -797,7 +906,7 @@ def _linear_scores(version: str, source: str) -> str:
     _split_rows("SELECT user_id, value FROM events", ("user_id", "value"))
     + f""", inside AS (SELECT * FROM parted WHERE {_bounds('user_id', 'parted')}),
 scores AS ({_linear_scores('raw', 'parted')} UNION ALL {_linear_scores('cleaned', '(SELECT DISTINCT * FROM inside)')})
-SELECT version, 'Linear Regression' AS model, 'ok' AS status, rmse, mse,
+SELECT version, 'Linear Regression' AS model, 'ok' AS status, n_train, n_test, n_scored, rmse, mse,
   CASE WHEN version = 'cleaned' THEN round(rmse - (SELECT rmse FROM scores WHERE version = 'raw'), 3) END AS rmse_change,
   CASE WHEN version = 'cleaned' THEN round(mse - (SELECT mse FROM scores WHERE version = 'raw'), 3) END AS mse_change,
   NULL::VARCHAR AS error

@@ -8,13 +8,47 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubwell.functions.columns import local_rows, ref, require
+from scrubwell.functions.columns import is_string, local_rows, ref, require
+
+
+# What stands for NULL in files that are written here.
+NULL_MARK = "\\N"
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, written_here: bool = False, **options
+) -> DataFrame:
+    """A CSV file or folder with a header row. Give a schema where it is known: inference reads the data once more.
+
+    ``written_here`` reads what ``write_csv`` wrote, cell by cell the same: quotes doubled, blanks kept, line ends inside
+    cells, NULL and the empty string told apart. A file with line ends inside cells cannot be split between tasks, so
+    parallelism is then the number of files. It needs the schema, since texts may look like numbers.
+    """
+    reader = spark.read.options(header=True)
+    if written_here:
+        if schema is None:
+            raise ValueError("reading back exactly needs the schema")
+        kept = dict(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        texts = T.StructType([T.StructField(f.name, T.StringType()) for f in _fields(schema)])
+        raw = reader.options(quote='"', escape='"', multiLine=True, nullValue=NULL_MARK, emptyValue="", **kept, **options).schema(texts).csv(path)
+        return raw.select(*[_unmarked(f).alias(f.name) for f in _fields(schema)])
+    reader = reader.options(**options)
+    return reader.schema(schema).csv(path) if schema is not None else reader.csv(path, inferSchema=True)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options) -> DataFrame:
-    """A CSV file or folder with a header row. Give a schema where it is known: inference reads the data once more."""
-    reader = spark.read.options(header=True, **options)
-    return reader.schema(schema).csv(path) if schema is not None else reader.csv(path, inferSchema=True)
+def _fields(schema: T.StructType | str) -> list[T.StructField]:
+    return (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields
+
+
+def _marked(field: T.StructField) -> Column:
+    """A cell as written: a text of backslashes and an N gets one backslash more, so it does not read as NULL."""
+    cell = ref(field.name).cast("string")
+    return F.regexp_replace(cell, r"^(\\+N)\z", r"\\$1") if is_string(field) else cell
+
+
+def _unmarked(field: T.StructField) -> Column:
+    cell = ref(field.name)
+    return F.regexp_replace(cell, r"^\\(\\+N)\z", "$1") if is_string(field) else cell.cast(field.dataType)
 
 
 def read_table(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
@@ -22,8 +56,16 @@ def read_table(spark: SparkSession, path: str, format: str = "parquet") -> DataF
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """The whole table as a folder of CSV files with a header, written by the executors."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """The whole table as a folder of CSV files with a header, written by the executors.
+
+    Cells with quotes, separators or line ends are quoted, with quotes doubled; blanks stay; NULL is written ``\\N`` and
+    the empty string as two quotes. A text that consists of backslashes and an N gets one backslash more.
+    ``read_csv(..., written_here=True)`` restores every cell.
+    """
+    texts = df.select(*[_marked(f).alias(f.name) for f in df.schema.fields])
+    kept = dict(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    writer = texts.write.mode(mode).options(header=True, quote='"', escape='"', nullValue=NULL_MARK, emptyValue='""', **kept)
+    writer.csv(path)
 
 
 def schema_listing(df: DataFrame) -> DataFrame:

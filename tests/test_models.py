@@ -87,15 +87,31 @@ def test_feature_kinds_and_slots(learnable):
     assert meta["attrs"]["nominal"] == [{"type": "nominal", "idx": 2, "num_vals": 40}]
 
 
-def test_many_categories_are_ranked_in_a_distributed_way(learnable):
-    few = features_module.fit_features(learnable.select("kind", "x", "y"), "y", "regression")
-    many = features_module.fit_features(learnable.select("kind", "x", "y"), "y", "regression", max_categories=5)
-    assert many.kinds["kind"] == "rank" and many.max_bins == 64
+def test_categories_stay_categories_however_many(spark):
+    rows = spark.range(12_000).selectExpr("concat('v', id) AS kind", "id * 0.5 AS y")
+    fitted = features_module.fit_features(rows, "y", "regression")
+    assert fitted.kinds == {"kind": "category"} and fitted.max_bins == 24_000
 
-    def vectors(f):
-        return sorted((r["label"], *r["features"]) for r in f.transform(learnable).collect())
 
-    assert vectors(few) == vectors(many)
+def test_forest_does_not_depend_on_partitions(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_custkey", "o_orderstatus", "o_totalprice")
+    few, many = (sw.evaluate(orders.repartition(n), "o_totalprice", "regression", only=["Random Forest"]).first() for n in (3, 9))
+    assert few == many and few["status"] == "ok"
+
+
+def test_model_without_a_scored_row_fails(spark):
+    rows = spark.range(300).selectExpr("concat('v', id) AS kind", "id * 0.5 AS y")
+    found = sw.evaluate(rows, "y", "regression", only=["Decision Tree"]).first()
+    assert (found["status"], found["n_scored"], found["rmse"]) == ("failed", 0, None)
+    assert found["n_train"] + found["n_test"] == 300
+
+
+def test_errors_of_the_cluster_are_raised():
+    from scrubwell.operators import evaluate as module
+
+    assert module._reason(ValueError("too few bins\nmore")) == "too few bins"
+    with pytest.raises(RuntimeError):
+        module._reason(RuntimeError("Job aborted: ExecutorLostFailure (executor 3)"))
 
 
 def test_awkward_feature_names(spark):
