@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from scrubwell.functions.columns import aggregate_row, as_double
 
-# A column with at most this many values is handed to the ``percentile`` aggregate, whose state grows with its input.
+# Columns with at most this many values together are handed to the ``percentile`` aggregate, whose states meet in one task.
 DIRECT_LIMIT = 1_000_000
-# The last stretch of the selection sorts at most this many values per quantile.
+# The last stretch of the selection sorts at most this many values, of all quantiles and columns together.
 SORT_LIMIT = 100_000
 # Rank error of the sketches that drive the selection. Only speed depends on it.
 STEP_ERROR = 0.001
@@ -44,10 +44,14 @@ def quantiles(
         found = flat.stat.approxQuantile(flat.columns, list(probs), error)
         return {n: (v or None) for n, v in zip(names, found)}
     counts = dict(zip(flat.columns, aggregate_row(flat, [F.count(c) for c in flat.columns])))
-    direct = [c for c in flat.columns if 0 < counts[c] <= direct_limit]
+    direct, room = [], direct_limit
+    for c in sorted(flat.columns, key=counts.get):
+        if 0 < counts[c] <= room:
+            direct.append(c)
+            room -= counts[c]
     exprs = [F.percentile(c, F.array(*[F.lit(float(p)) for p in probs])) for c in direct]
     result = dict(zip(direct, aggregate_row(flat, exprs)))
-    large = [c for c in flat.columns if counts[c] > direct_limit]
+    large = [c for c in flat.columns if counts[c] > 0 and c not in direct]
     if large:
         result.update(_select_large(flat, large, probs, counts, sort_limit))
     return {n: result.get(c) for n, c in zip(names, flat.columns)}
@@ -94,6 +98,7 @@ def _select_large(flat, columns, probs, counts, sort_limit) -> dict[str, list[fl
             first = floor(p * (counts[c] - 1))
             for rank in (first, min(first + 1, counts[c] - 1)):
                 targets.setdefault((c, rank), _Target(c, rank, counts[c]))
+    sort_limit = max(1, sort_limit // len(targets))
     while True:
         wide = [t for t in targets.values() if t.value is None and t.inside > sort_limit]
         if not wide:

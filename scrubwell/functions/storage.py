@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,7 +14,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can reach.
 
     It is the one named in ``spark.checkpoint.dir``. Only a local session without that setting gets a temporary
-    folder; on a cluster such a folder would be invisible to the other machines, so there the setting is required.
+    folder, which goes when the process ends; on a cluster such a folder would be invisible to the other machines, so
+    there the setting is required, and cleaning it is left to its owner.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -24,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     if current is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="scrubwell-"))
+        made = tempfile.mkdtemp(prefix="scrubwell-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        context.setCheckpointDir(made)
         current = context.getCheckpointDir()
     return current
 

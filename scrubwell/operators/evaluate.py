@@ -27,8 +27,8 @@ METRICS = {
 }
 
 
-def models(task: str, bins: int) -> dict[str, object]:
-    """The models of a task. Trees get as many bins as the richest category needs."""
+def models(task: str, bins: int, tree_column: str = "features") -> dict[str, object]:
+    """The models of a task. Trees get as many bins as the richest category needs, and read ``tree_column``."""
     if task == "regression":
         return {
             "Linear Regression": LinearRegression(),
@@ -38,8 +38,8 @@ def models(task: str, bins: int) -> dict[str, object]:
     if task == "classification":
         return {
             "Logistic Regression": LogisticRegression(maxIter=10),
-            "Decision Tree": DecisionTreeClassifier(maxBins=bins),
-            "Random Forest": RandomForestClassifier(numTrees=20, maxBins=bins, seed=SEED),
+            "Decision Tree": DecisionTreeClassifier(maxBins=bins, featuresCol=tree_column),
+            "Random Forest": RandomForestClassifier(numTrees=20, maxBins=bins, seed=SEED, featuresCol=tree_column),
         }
     if task == "text_classification":
         return {"Naive Bayes": NaiveBayes()}
@@ -136,7 +136,7 @@ def _evaluate_rows(
             reason = _reason(error)
             return [(name, "failed", None, n_test, None, *blank, reason) for name in names]
         rows = []
-        fresh = models(task, features.max_bins)
+        fresh = models(task, features.max_bins, features.tree_column)
         for name in names:
             try:
                 scored = fresh[name].fit(train).transform(test).select("label", "prediction")

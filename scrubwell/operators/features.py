@@ -25,6 +25,9 @@ TEXT_CHARS = 15
 # No word is left out: this is as many slots as a vector can have. The words themselves are held by the driver.
 VOCABULARY = 2**31 - 1
 MIN_CATEGORIES = 32
+# Slots of hashed words for trees, which hold each row as a number per slot: 4 kB a row and text column. Linear models
+# read the sparse vector and keep the default width.
+TREE_SLOTS = 4096
 
 
 def prepare_rows(df: DataFrame, target: str, task: str) -> DataFrame:
@@ -64,11 +67,12 @@ def text_features(df: DataFrame, names: list[str], threshold: float = TEXT_CHARS
 
 @dataclass
 class Features:
-    """A fitted table-to-vector transformation."""
+    """A fitted table-to-vector transformation. ``tree_column`` is the vector that trees are to read."""
 
     transform: Callable[[DataFrame], DataFrame]
     max_bins: int
     kinds: dict[str, str] = field(default_factory=dict)
+    tree_column: str = "features"
 
 
 def fit_features(
@@ -79,8 +83,8 @@ def fit_features(
 ) -> Features:
     """Fit on prepared training rows; the result maps prepared rows to ``(label, features)``.
 
-    Regression numbers every string by frequency. Classification hashes the words of text columns and numbers the
-    other strings. However many values a string has, trees treat its numbers as categories; a model that cannot hold
+    Regression numbers every string by frequency. Classification hashes the words of text columns, for trees once more
+    into ``TREE_SLOTS`` slots in ``tree_features``, and numbers the other strings. However many values a string has, trees treat its numbers as categories; a model that cannot hold
     so many fails, and says so. The text task weighs the words of every string by TF-IDF. Rows with a string value or label that
     the training rows lack are dropped, as a number for it does not exist.
     """
@@ -103,7 +107,7 @@ def fit_features(
     base = plain(train)
     few = [safe[c] for c in categories]
 
-    inputs, stages = [], []
+    inputs, stages, narrowed = [], [], {}
     for c in names:
         s = safe[c]
         if c in texts:
@@ -114,7 +118,9 @@ def fit_features(
                 inputs.append(f"{s}_tfidf")
             else:
                 stages.append(HashingTF(inputCol=f"{s}_words", outputCol=f"{s}_tf"))
+                stages.append(HashingTF(inputCol=f"{s}_words", outputCol=f"{s}_few", numFeatures=TREE_SLOTS))
                 inputs.append(f"{s}_tf")
+                narrowed[f"{s}_tf"] = f"{s}_few"
         else:
             inputs.append(f"{s}_idx" if c in categories else s)
     if few:
@@ -124,6 +130,9 @@ def fit_features(
     if string_label:
         stages.append(StringIndexer(inputCol="y", outputCol="label", handleInvalid="skip"))
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
+    tree_inputs = [narrowed.get(c, c) for c in inputs]
+    if narrowed:
+        stages.append(VectorAssembler(inputCols=tree_inputs, outputCol="tree_features"))
 
     model = Pipeline(stages=stages).fit(base)
     arity = {}
@@ -139,11 +148,15 @@ def fit_features(
     label = F.col("label") if string_label else F.col("y").alias("label")
     features = F.col("features").alias("features", metadata=_slots(inputs, widths, arity))
 
+    columns = [label, features]
+    if narrowed:
+        columns.append(F.col("tree_features").alias("tree_features", metadata=_slots(tree_inputs, widths, arity)))
+
     def transform(df: DataFrame) -> DataFrame:
-        return model.transform(plain(df)).select(label, features)
+        return model.transform(plain(df)).select(*columns)
 
     kinds = {c: "text" if c in texts else "category" if c in categories else "number" for c in names}
-    return Features(transform, 2 * max([MIN_CATEGORIES, *arity.values()]), kinds)
+    return Features(transform, 2 * max([MIN_CATEGORIES, *arity.values()]), kinds, "tree_features" if narrowed else "features")
 
 
 def _slots(inputs: list[str], widths: dict[str, int], arity: dict[str, int]) -> dict:

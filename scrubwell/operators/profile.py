@@ -11,6 +11,8 @@ from scrubwell.functions.frequencies import frequencies, totals
 from scrubwell.functions.quantiles import quantiles
 from scrubwell.functions.stats import missing
 
+# Groups by digest in which the values of a column are ranked before all of it is.
+GROUPS = 64
 PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
 SCHEMA = (
     "column string, type string, n bigint, n_missing bigint, p_missing double, n_distinct bigint, "
@@ -73,12 +75,17 @@ def column_profile(df: DataFrame, mode: str = "approx", error: float = 0.01) ->
 def top_values(df: DataFrame, k: int = 10) -> DataFrame:
     """``(column, rank, value, n)``: the ``k`` most frequent values of each column, ties in value order.
 
-    Spark keeps at most ``k`` candidates per column in each task before it shuffles them for the final ranking.
+    Values are ranked inside ``GROUPS`` groups per column first, by digest; the final ranking sees ``k`` of each at most, so no task
+    holds all values of a column however large ``k`` is.
     """
     require(df)
     names = _profiled(df)
     if not names:
         return empty(df, "column string, rank int, value string, n bigint")
     freq = frequencies(df, names).filter("n > 0")
-    place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), F.asc_nulls_last("value")))
-    return freq.withColumn("rank", place).filter(F.col("rank") <= k).select("column", "rank", "value", "n")
+    order = (F.desc("n"), F.asc_nulls_last("value"))
+    grouped = freq.withColumn("__group", F.pmod(F.xxhash64("value"), F.lit(GROUPS)))
+    first = F.row_number().over(Window.partitionBy("column", "__group").orderBy(*order))
+    best = grouped.withColumn("__first", first).filter(F.col("__first") <= k).drop("__group", "__first")
+    place = F.row_number().over(Window.partitionBy("column").orderBy(*order))
+    return best.withColumn("rank", place).filter(F.col("rank") <= k).select("column", "rank", "value", "n")

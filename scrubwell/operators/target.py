@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scrubwell.functions.columns import (
     aggregate_row, empty, is_numeric, is_string, local_rows, numeric_columns, ref, require, string_columns,
 )
+from scrubwell.functions.frequencies import frequencies, totals
 from scrubwell.functions.indexing import SMALL_INDEX, frequency_index
 from scrubwell.functions.stats import pearson
 
@@ -57,32 +58,21 @@ def target_correlation(
     centre, *found = aggregate_row(df, [F.avg(y)] + [pearson(ref(c).cast("double"), y) for c in numeric])
     rows = [(c, r) for c, r in zip(numeric, found) if r is not None]
     result = local_rows(df.sparkSession, rows, SCHEMA)
-    likely = _maybe_low_cardinality(df, strings, limit)
-    if likely and centre is not None:
-        result = result.unionByName(_ranked_correlation(df, likely, y - F.lit(centre), limit))
+    few = _low_cardinality(df, strings, limit)
+    if few and centre is not None:
+        result = result.unionByName(_ranked_correlation(df, few, y - F.lit(centre), limit))
     return (
         result.select("feature", F.round("correlation", 3).alias("correlation"))
         .orderBy(F.isnan("correlation"), F.desc("correlation"), "feature")
     )
 
 
-def _maybe_low_cardinality(df: DataFrame, names: list[str], limit: int) -> list[str]:
-    """The columns that can have fewer than ``limit`` values, so that the others need no exact count.
-
-    For a few hundred values the estimate is a function of the occupied registers and stays within a tenth or so
-    above the true count; the margin of two excludes no column that belongs in. The estimates are a job of their own:
-    they would keep the moments out of generated code, and they read other columns anyway.
-    """
-    guesses = aggregate_row(df, [F.approx_count_distinct(ref(c)) for c in names])
-    return [c for c, k in zip(names, guesses) if k <= 2 * limit]
-
-
 def _low_cardinality(df: DataFrame, names: list[str], limit: int) -> list[str]:
-    likely = _maybe_low_cardinality(df, names, limit)
-    exact = aggregate_row(
-        df, [F.count_distinct(ref(c)) + F.max(ref(c).isNull().cast("int")) for c in likely]
-    )
-    return [c for c, k in zip(likely, exact) if (k or 0) < limit]
+    """The columns with fewer than ``limit`` values, NULL being one, by exact counts from one frequency table."""
+    if not names:
+        return []
+    sizes = {r["column"]: r["n_values"] for r in totals(frequencies(df, names, keep_values=False)).collect()}
+    return [c for c in names if sizes[c] < limit]
 
 
 def _ranked_correlation(df: DataFrame, names: list[str], y, limit: int) -> DataFrame:
@@ -99,7 +89,7 @@ def _ranked_correlation(df: DataFrame, names: list[str], y, limit: int) -> DataF
         F.coalesce(F.sum("__y"), F.lit(0.0)).alias("sy"),
         F.coalesce(F.sum(F.col("__y") * F.col("__y")), F.lit(0.0)).alias("syy"),
     )
-    # at most about 2 * limit values per feature are left here
+    # fewer than limit values per feature
     by_feature = Window.partitionBy("feature")
     place = F.row_number().over(by_feature.orderBy(F.col("value").isNull(), F.desc("n"), "value"))
     ranked = (

@@ -414,6 +414,12 @@ def index_target(spark, sf_dir):
     return sw.index_target(table(spark, sf_dir, "documents").drop("text"), "lang")
 
 
+@query("index_target_texts", f"SELECT doc_id, x AS text FROM documents JOIN {sql.ranks('documents', 'text')} ON text = v")
+def index_target_texts(spark, sf_dir):
+    """Nearly every text is a value of its own; numbered in ranges, as a table with many values is."""
+    return sw.index_target(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", small_limit=100)
+
+
 @query("class_distribution", "SELECT lang AS class, count(*) AS n FROM documents GROUP BY lang")
 def class_distribution(spark, sf_dir):
     return sw.class_distribution(table(spark, sf_dir, "documents"), "lang")
@@ -572,6 +578,48 @@ def undersample(spark, sf_dir):
     return sw.undersample(table(spark, sf_dir, "documents").select(*_DOC_KEYS), "lang")
 
 
+_WHOLE = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+@query(
+    "undersample_documents",
+    f"""WITH d AS (SELECT *, {sql.digest(_WHOLE)} AS h FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h) AS place FROM d)
+SELECT doc_id, text, lang, source, n_chars FROM r WHERE place <= (SELECT min(n) FROM (SELECT count(*) AS n FROM d GROUP BY lang))""",
+)
+def undersample_documents(spark, sf_dir):
+    """Whole rows, texts included."""
+    return sw.undersample(table(spark, sf_dir, "documents"), "lang")
+
+
+_EVENT = ("event_id", "ts", "user_id", "event_type", "value", "props")
+
+
+@query(
+    "split_events",
+    f"""SELECT event_id, ts, user_id, event_type, value, props,
+  CASE WHEN {sql.hex_number(sql.digest(_EVENT), 8)} % 100 < 80 THEN 'train' ELSE 'test' END AS part FROM events""",
+)
+def split_events(spark, sf_dir):
+    """Whole rows with timestamps, doubles and texts."""
+    train, test = sw.train_test_split(table(spark, sf_dir, "events"))
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+_MANY = "CASE WHEN o_orderkey % 3 = 0 THEN 'most' ELSE o_orderkey::VARCHAR END AS class"
+
+
+@query(
+    "undersample_many_classes",
+    f"""WITH d AS (SELECT o_orderkey, o_custkey, {_MANY} FROM orders), h AS (SELECT *, {sql.digest(("o_orderkey", "o_custkey", "class"))} AS h FROM d)
+SELECT o_orderkey, o_custkey, class FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY h) AS place FROM h) WHERE place = 1""",
+)
+def undersample_many_classes(spark, sf_dir):
+    """A class per order, and one that holds a third of them."""
+    wide = _MANY.replace("o_orderkey::VARCHAR", "CAST(o_orderkey AS STRING)")
+    return sw.undersample(table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", wide), "class")
+
+
 _DRAW = sql.hex_number(f"md5('{sql.SEED}|' || lang || '|' || i::VARCHAR)", 15)
 
 
@@ -928,3 +976,41 @@ def compare_versions(spark, sf_dir):
 def compare_text_versions(spark, sf_dir):
     plan = sw.CleaningPlan("quality").drop_duplicates().clean_text(["text"]).resample("over", train_only=True)
     return sw.compare(labelled(spark, sf_dir).select("text", "quality"), plan, "quality", "text_classification")
+
+
+# ---- approximate quantiles ---------------------------------------------------------------------------------------
+
+
+def _within_error(df: DataFrame, found: dict[tuple[str, float], float], error: float) -> DataFrame:
+    """Whether each value found for a column and probability has a rank that is off by ``error`` at most."""
+    n = F.count(F.lit(1))
+    parts = []
+    for (name, p), value in found.items():
+        below, upto = (F.count_if(F.col(name) < value), F.count_if(F.col(name) <= value))
+        near = (upto >= F.ceil((F.lit(p) - error) * n)) & (below <= F.floor((F.lit(p) + error) * n))
+        parts.append(F.struct(F.lit(name).alias("column"), F.lit(p).alias("p"), near.alias("within")))
+    return df.agg(F.array(*parts).alias("r")).select(F.inline("r"))
+
+
+def _all_within(columns: tuple[str, ...], probs: tuple[float, ...]) -> str:
+    return sql.union([f"SELECT '{c}' AS \"column\", {p}::DOUBLE AS p, true AS within" for c in columns for p in probs])
+
+
+_LINE_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount")
+
+
+@query("default_quartiles_within_error", _all_within(_LINE_NUMBERS, (0.25, 0.75)))
+def default_quartiles_within_error(spark, sf_dir):
+    """What outlier detection and box statistics report without arguments, by the rank of each value."""
+    lines = table(spark, sf_dir, "lineitem").select(*_LINE_NUMBERS)
+    boxes = {r["column"]: r for r in sw.box_stats(lines).collect()}
+    return _within_error(lines, {(c, p): boxes[c][q] for c in _LINE_NUMBERS for p, q in ((0.25, "q1"), (0.75, "q3"))}, 0.05)
+
+
+@query("default_median_within_error", _all_within(("o_totalprice",), (0.5,)))
+def default_median_within_error(spark, sf_dir):
+    """The median that fills gaps without arguments, by its rank among the values that are there."""
+    orders = gaps(spark, sf_dir).select("o_orderkey", "o_totalprice")
+    filled = sw.handle_missing(orders, "median").withColumnRenamed("o_totalprice", "filled")
+    value = filled.join(orders.filter("o_totalprice IS NULL"), "o_orderkey").agg(F.max("filled")).first()[0]
+    return _within_error(orders.filter("o_totalprice IS NOT NULL"), {("o_totalprice", 0.5): value}, 0.01)

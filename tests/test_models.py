@@ -162,3 +162,20 @@ def test_training_steps_do_not_reach_the_test_rows(learnable, monkeypatch):
     plan = sw.CleaningPlan("label").resample("over", train_only=True)
     evaluate(rare, "label", "text_classification", train_steps=plan)
     assert len(set(seen["sizes"].values())) == 1
+
+
+def test_trees_read_words_in_few_slots(spark):
+    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.functions import vector_to_array
+
+    words = ["alpha beta alpha gamma delta", "epsilon zeta eta theta iota"]
+    rows = spark.createDataFrame([(t, float(i)) for i, t in enumerate(words)], "text string, y double")
+    fitted = features_module.fit_features(rows, "y", "classification", ["text"])
+    found = fitted.transform(rows).select("label", vector_to_array("tree_features").alias("t"), vector_to_array("features").alias("f")).collect()
+    assert fitted.tree_column == "tree_features"
+    for r in found:
+        for column, width in (("t", features_module.TREE_SLOTS), ("f", 262144)):
+            wanted = [0.0] * width
+            for w in words[int(r["label"])].split():
+                wanted[HashingTF(numFeatures=width).indexOf(w)] += 1
+            assert r[column] == wanted

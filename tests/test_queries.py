@@ -22,7 +22,10 @@ def test_equals_sql(spark, connection, name):
         assert bad not in plan
 
 
-@pytest.mark.parametrize("name", ["eval_regression", "eval_classification", "eval_text"])
+@pytest.mark.parametrize(
+    "name",
+    ["eval_regression", "eval_classification", "eval_text", "eval_classification_words", "compare_versions", "compare_text_versions"],
+)
 def test_models_run(spark, name):
     assert all(r["status"] == "ok" for r in QUERIES[name](spark, SF).collect())
 
