@@ -50,7 +50,7 @@ def models(task: str, bins: int, tree_column: str = "features") -> dict[str, obj
 # their number must come from the table and not from the machine.
 PARTITION_ROWS = 100_000
 PARTITIONS = 8
-COUNTS = ("n_train", "n_test", "n_scored")
+COUNTS = ("n_train", "n_test", "n_scored", "n_features")
 # Signs of a failing cluster in an error. Such an error says nothing about the model and is passed on.
 CLUSTER_FAILURES = (
     "ExecutorLostFailure", "OutOfMemoryError", "FetchFailed", "No space left", "java.io.IOException", "shut down", "cancelled",
@@ -88,7 +88,8 @@ def evaluate(
     Features are fitted once and shared by the models, which read them from a persisted table. ``train_steps`` are
     cleaning steps for the training rows alone, ``inverse`` maps labels and predictions back to the scale in which a
     regression is to be scored, ``only`` names the models to fit. Beside the metrics stand the numbers of rows trained on,
-    set apart for the test, and scored; the last is smaller where test rows hold values that no training row has. A model
+    set apart for the test, and scored, which is smaller where test rows hold values that no training row has, and the length
+    of the feature vector. A model
     that fails, or scores no row, gives a row with ``status`` "failed" and the first line of the error. Lost executors and
     full disks are no property of a model: such errors are raised.
     """
@@ -134,10 +135,11 @@ def _evaluate_rows(
             counts = (train.count(), n_test, test.count())
         except Exception as error:
             reason = _reason(error)
-            return [(name, "failed", None, n_test, None, *blank, reason) for name in names]
+            return [(name, "failed", None, n_test, None, None, *blank, reason) for name in names]
         rows = []
         fresh = models(task, features.max_bins, features.tree_column)
         for name in names:
+            shown = (*counts, features.slots[fresh[name].getFeaturesCol()])
             try:
                 scored = fresh[name].fit(train).transform(test).select("label", "prediction")
                 if counts[-1] == 0:
@@ -148,9 +150,9 @@ def _evaluate_rows(
                     values = regression_metrics(scored).first()
                 else:
                     values = classification_metrics(scored).first()
-                rows.append((name, "ok", *counts, *values, None))
+                rows.append((name, "ok", *shown, *values, None))
             except Exception as error:
-                rows.append((name, "failed", *counts, *blank, _reason(error)))
+                rows.append((name, "failed", *shown, *blank, _reason(error)))
         return rows
     finally:
         for part in held:

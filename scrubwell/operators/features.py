@@ -25,7 +25,7 @@ TEXT_CHARS = 15
 # No word is left out: this is as many slots as a vector can have. The words themselves are held by the driver.
 VOCABULARY = 2**31 - 1
 MIN_CATEGORIES = 32
-# Slots of hashed words for trees, which hold each row as a number per slot: 4 kB a row and text column. Linear models
+# Slots of hashed words for trees, which hold each row as a number per slot: 16 kB a row and text column. Linear models
 # read the sparse vector and keep the default width.
 TREE_SLOTS = 4096
 
@@ -67,12 +67,14 @@ def text_features(df: DataFrame, names: list[str], threshold: float = TEXT_CHARS
 
 @dataclass
 class Features:
-    """A fitted table-to-vector transformation. ``tree_column`` is the vector that trees are to read."""
+    """A fitted table-to-vector transformation. ``tree_column`` is the vector that trees are to read, ``slots`` the length of
+    each vector."""
 
     transform: Callable[[DataFrame], DataFrame]
     max_bins: int
     kinds: dict[str, str] = field(default_factory=dict)
     tree_column: str = "features"
+    slots: dict[str, int] = field(default_factory=dict)
 
 
 def fit_features(
@@ -146,17 +148,16 @@ def fit_features(
         elif isinstance(stage, CountVectorizerModel):
             widths[stage.getOutputCol() + "idf"] = len(stage.vocabulary)
     label = F.col("label") if string_label else F.col("y").alias("label")
-    features = F.col("features").alias("features", metadata=_slots(inputs, widths, arity))
-
-    columns = [label, features]
+    described = {"features": _slots(inputs, widths, arity)}
     if narrowed:
-        columns.append(F.col("tree_features").alias("tree_features", metadata=_slots(tree_inputs, widths, arity)))
+        described["tree_features"] = _slots(tree_inputs, widths, arity)
+    columns = [label, *[F.col(c).alias(c, metadata=about) for c, about in described.items()]]
 
     def transform(df: DataFrame) -> DataFrame:
         return model.transform(plain(df)).select(*columns)
 
     kinds = {c: "text" if c in texts else "category" if c in categories else "number" for c in names}
-    return Features(transform, 2 * max([MIN_CATEGORIES, *arity.values()]), kinds, "tree_features" if narrowed else "features")
+    return Features(transform, 2 * max([MIN_CATEGORIES, *arity.values()]), kinds, list(described)[-1], {c: d["ml_attr"]["num_attrs"] for c, d in described.items()})
 
 
 def _slots(inputs: list[str], widths: dict[str, int], arity: dict[str, int]) -> dict:

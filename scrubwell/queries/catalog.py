@@ -761,7 +761,7 @@ def _split_rows(select: str, columns: tuple[str, ...]) -> str:
     + """, line AS (SELECT regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS start
   FROM parted WHERE train)
 SELECT 'Linear Regression' AS model, 'ok' AS status, (SELECT count(*) FROM parted WHERE train) AS n_train,
-  count(*) AS n_test, count(*) AS n_scored, round(sqrt(avg(e * e)), 3) AS rmse, round(avg(e * e), 3) AS mse,
+  count(*) AS n_test, count(*) AS n_scored, 1::BIGINT AS n_features, round(sqrt(avg(e * e)), 3) AS rmse, round(avg(e * e), 3) AS mse,
   NULL::VARCHAR AS error
 FROM (SELECT l_extendedprice - start - slope * l_quantity AS e FROM parted, line WHERE NOT train)""",
 )
@@ -850,7 +850,7 @@ _GROUP_MEAN = _split_rows(_STATUS_TABLE, ("o_orderstatus", "o_totalprice"))
     _GROUP_MEAN
     + """, means AS (SELECT o_orderstatus, avg(o_totalprice) AS m FROM parted WHERE train GROUP BY o_orderstatus)
 SELECT 'Decision Tree' AS model, 'ok' AS status, (SELECT count(*) FROM parted WHERE train) AS n_train, count(*) AS n_test,
-  count(*) AS n_scored, round(sqrt(avg(e * e)), 3) AS rmse, round(avg(e * e), 3) AS mse, NULL::VARCHAR AS error
+  count(*) AS n_scored, 1::BIGINT AS n_features, round(sqrt(avg(e * e)), 3) AS rmse, round(avg(e * e), 3) AS mse, NULL::VARCHAR AS error
 FROM (SELECT o_totalprice - m AS e FROM parted JOIN means USING (o_orderstatus) WHERE NOT train)""",
 )
 def eval_tree_on_categories(spark, sf_dir):
@@ -866,7 +866,7 @@ def _certain(models: tuple[str, ...], columns: tuple[str, ...], select: str, fig
     """What models must score whose label is a function of one category: everything right."""
     counted = _split_rows(select, columns) + ", n AS (SELECT count(*) FILTER (train) AS a, count(*) FILTER (NOT train) AS b FROM parted)\n"
     lines = [
-        f"SELECT '{m}' AS model, 'ok' AS status, a AS n_train, b AS n_test, b AS n_scored, {figures}, NULL::VARCHAR AS error FROM n"
+        f"SELECT '{m}' AS model, 'ok' AS status, a AS n_train, b AS n_test, b AS n_scored, 2::BIGINT AS n_features, {figures}, NULL::VARCHAR AS error FROM n"
         for m in models
     ]
     return counted + " UNION ALL ".join(lines)
@@ -908,7 +908,7 @@ def eval_certain_classification(spark, sf_dir):
     "eval_many_categories",
     """WITH rows AS (SELECT c_name, c_acctbal, c_nationkey FROM customer),
 parted AS (SELECT *, {} % 100 < 80 AS train FROM rows), n AS (SELECT count(*) FILTER (train) AS a, count(*) FILTER (NOT train) AS b FROM parted)
-SELECT 'Decision Tree' AS model, 'failed' AS status, a AS n_train, b AS n_test, 0::BIGINT AS n_scored, NULL::DOUBLE AS rmse, NULL::DOUBLE AS mse,
+SELECT 'Decision Tree' AS model, 'failed' AS status, a AS n_train, b AS n_test, 0::BIGINT AS n_scored, 2::BIGINT AS n_features, NULL::DOUBLE AS rmse, NULL::DOUBLE AS mse,
   'no test row could be scored' AS error FROM n""".format(sql.hex_number(sql.digest(("c_name", "c_acctbal", "c_nationkey")), 8)),
 )
 def eval_many_categories(spark, sf_dir):
@@ -933,7 +933,7 @@ def eval_classification_words(spark, sf_dir):
 
 
 _TEXT_COUNTS = """(SELECT count(*) FROM texts WHERE train) AS n_train, (SELECT count(*) FROM texts WHERE NOT train) AS n_test,
-  (SELECT count(*) FROM p) AS n_scored, """
+  (SELECT count(*) FROM p) AS n_scored, (SELECT count(*) FROM weights) AS n_features, """
 
 
 @query("eval_text", _BAYES + _SCORES.format("'Naive Bayes' AS model, 'ok' AS status, NULL::VARCHAR AS error, " + _TEXT_COUNTS))
@@ -943,7 +943,7 @@ def eval_text(spark, sf_dir):
 
 def _linear_scores(version: str, source: str) -> str:
     return f"""SELECT '{version}' AS version, (SELECT count(*) FROM {source} WHERE train) AS n_train, count(*) AS n_test,
-  count(*) AS n_scored, round(sqrt(avg(e * e)), 3) AS rmse, round(avg(e * e), 3) AS mse FROM (
+  count(*) AS n_scored, 1::BIGINT AS n_features, round(sqrt(avg(e * e)), 3) AS rmse, round(avg(e * e), 3) AS mse FROM (
   SELECT value - start - slope * user_id AS e FROM {source},
     (SELECT regr_slope(value, user_id) AS slope, regr_intercept(value, user_id) AS start FROM {source} WHERE train)
   WHERE NOT train)"""
@@ -954,7 +954,7 @@ def _linear_scores(version: str, source: str) -> str:
     _split_rows("SELECT user_id, value FROM events", ("user_id", "value"))
     + f""", inside AS (SELECT * FROM parted WHERE {_bounds('user_id', 'parted')}),
 scores AS ({_linear_scores('raw', 'parted')} UNION ALL {_linear_scores('cleaned', '(SELECT DISTINCT * FROM inside)')})
-SELECT version, 'Linear Regression' AS model, 'ok' AS status, n_train, n_test, n_scored, rmse, mse,
+SELECT version, 'Linear Regression' AS model, 'ok' AS status, n_train, n_test, n_scored, n_features, rmse, mse,
   CASE WHEN version = 'cleaned' THEN round(rmse - (SELECT rmse FROM scores WHERE version = 'raw'), 3) END AS rmse_change,
   CASE WHEN version = 'cleaned' THEN round(mse - (SELECT mse FROM scores WHERE version = 'raw'), 3) END AS mse_change,
   NULL::VARCHAR AS error
