@@ -63,8 +63,8 @@ def csv_roundtrip(spark, sf_dir):
 
 def _csv_texts(spark: SparkSession, rows: DataFrame) -> DataFrame:
     path = fresh_path(spark, "csv")
-    sw.write_csv(rows, path)
-    return sw.read_csv(spark, path, schema=rows.schema, written_here=True)
+    sw.write_csv(rows, path, exact=True)
+    return sw.read_csv(spark, path, schema=rows.schema, exact=True)
 
 
 @query("csv_roundtrip_documents", "SELECT doc_id, text, lang, source, n_chars FROM documents")

@@ -11,33 +11,31 @@ from pyspark.sql import types as T
 from scrubwell.functions.columns import is_string, local_rows, ref, require
 
 
-# What stands for NULL in files that are written here.
+# What stands for NULL in files written exactly.
 NULL_MARK = "\\N"
+# Cells as other programs write them: quotes doubled, blanks kept.
+_FORM = dict(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, written_here: bool = False, **options
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = False, exact: bool = False, **options
 ) -> DataFrame:
     """A CSV file or folder with a header row. Give a schema where it is known: inference reads the data once more.
 
-    ``written_here`` reads what ``write_csv`` wrote, cell by cell the same: quotes doubled, blanks kept, line ends inside
-    cells, NULL and the empty string told apart. A file with line ends inside cells cannot be split between tasks, so
-    parallelism is then the number of files. It needs the schema, since texts may look like numbers.
+    ``multiline`` reads cells that hold line ends; such a file cannot be split between tasks, so parallelism is then the
+    number of files. An empty cell is NULL, and so is an empty string in quotes. ``exact`` reads what ``write_csv`` wrote with
+    ``exact``, cell by cell the same. It needs the schema, since texts may look like numbers.
     """
-    reader = spark.read.options(header=True)
-    if written_here:
-        if schema is None:
-            raise ValueError("reading back exactly needs the schema")
-        kept = dict(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-        texts = T.StructType([T.StructField(f.name, T.StringType()) for f in _fields(schema)])
-        raw = reader.options(quote='"', escape='"', multiLine=True, nullValue=NULL_MARK, emptyValue="", **kept, **options).schema(texts).csv(path)
-        return raw.select(*[_unmarked(f).alias(f.name) for f in _fields(schema)])
-    reader = reader.options(**options)
-    return reader.schema(schema).csv(path) if schema is not None else reader.csv(path, inferSchema=True)
-
-
-def _fields(schema: T.StructType | str) -> list[T.StructField]:
-    return (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields
+    reader = spark.read.options(**_FORM, multiLine=multiline or exact)
+    if not exact:
+        reader = reader.options(**options)
+        return reader.schema(schema).csv(path) if schema is not None else reader.csv(path, inferSchema=True)
+    if schema is None:
+        raise ValueError("reading exactly needs the schema")
+    fields = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in fields])
+    raw = reader.options(nullValue=NULL_MARK, emptyValue="", **options).schema(texts).csv(path)
+    return raw.select(*[_unmarked(f).alias(f.name) for f in fields])
 
 
 def _marked(field: T.StructField) -> Column:
@@ -55,16 +53,17 @@ def read_table(spark: SparkSession, path: str, format: str = "parquet") -> DataF
     return spark.read.format(format).load(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", exact: bool = False) -> None:
     """The whole table as a folder of CSV files with a header, written by the executors.
 
-    Cells with quotes, separators or line ends are quoted, with quotes doubled; blanks stay; NULL is written ``\\N`` and
-    the empty string as two quotes. A text that consists of backslashes and an N gets one backslash more.
-    ``read_csv(..., written_here=True)`` restores every cell.
+    Cells with quotes, separators or line ends are quoted, with quotes doubled; blanks stay; NULL is an empty cell and the
+    empty string two quotes, which most readers take for the same. With ``exact`` NULL is ``\\N``, and a text that consists of
+    backslashes and an N gets one backslash more; ``read_csv(..., exact=True)`` then restores every cell.
     """
-    texts = df.select(*[_marked(f).alias(f.name) for f in df.schema.fields])
-    kept = dict(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    writer = texts.write.mode(mode).options(header=True, quote='"', escape='"', nullValue=NULL_MARK, emptyValue='""', **kept)
+    writer = df.write.mode(mode).options(**_FORM)
+    if exact:
+        texts = df.select(*[_marked(f).alias(f.name) for f in df.schema.fields])
+        writer = texts.write.mode(mode).options(**_FORM, nullValue=NULL_MARK, emptyValue='""')
     writer.csv(path)
 
 

@@ -72,6 +72,18 @@ def test_calendar_parts_leave_own_columns_alone(spark):
 def test_csv_restores_every_cell(spark, tmp_path):
     cells = [" lead", "trail ", "two\nlines", "a\r\nb\r", "\\N", "\\\\N", "\\", '"', '""', '"q","r"', "", None, "N", ",", "\t", "#c"]
     rows = spark.createDataFrame([(i, c, i / 3) for i, c in enumerate(cells)], "id int, cell string, d double")
+    sw.write_csv(rows, str(tmp_path / "t"), exact=True)
+    back = sw.read_csv(spark, str(tmp_path / "t"), schema=rows.schema, exact=True)
+    assert back.schema == rows.schema
+    by_id = lambda found: {r["id"]: tuple(r) for r in found}
+    assert by_id(back.collect()) == by_id(rows.collect())
+    alone = rows.select("cell")
+    sw.write_csv(alone, str(tmp_path / "one"), exact=True)
+    found = sw.read_csv(spark, str(tmp_path / "one"), schema=alone.schema, exact=True).collect()
+    assert sorted(str(r["cell"]) for r in found) == sorted(map(str, cells))
+
+
+def test_plain_csv_keeps_blanks_quotes_and_line_ends(spark, tmp_path):
+    rows = spark.createDataFrame([(1, " lead ", 0.5), (2, 'two\n"lines"', None), (3, None, 2.5)], "id int, cell string, d double")
     sw.write_csv(rows, str(tmp_path / "t"))
-    back = sw.read_csv(spark, str(tmp_path / "t"), schema=rows.schema, written_here=True)
-    assert back.schema == rows.schema and sorted(back.collect()) == sorted(rows.collect())
+    assert sorted(sw.read_csv(spark, str(tmp_path / "t"), multiline=True).collect()) == sorted(rows.collect())
