@@ -53,7 +53,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered within bounds."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -102,7 +102,7 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         serial = TaskContext.get().partitionId() << 40
-        for batch in pieces(batches, 512):
+        for batch in pieces(batches):
             words = [split_words(t) for t in text_bytes(batch)]
             found = [np.unique(shingle_hashes(w, hashes), return_counts=True) for w in words]
             counts = [len(e) for e, _ in found]

@@ -79,7 +79,7 @@ class _Terms(dict):
         self.lexicon = lexicon
 
     def __missing__(self, word: bytes) -> tuple[str, ...]:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         terms = _word_terms(word)
         value = self[word] = tuple(terms if self.lexicon is None else [t for t in terms if t in self.lexicon])
@@ -249,7 +249,7 @@ def _learn_terms(sample: DataFrame, most: int, evidence: float) -> list[str]:
         for batch in pieces(batches):
             for text, toxic in zip(text_bytes(batch), batch.column("toxic").to_pylist(), strict=True):
                 counts[toxic].update(text_terms(text, terms)[0])
-            if len(counts[0]) > 200_000:
+            if len(counts[0]) > 100_000:
                 yield drained()
         yield drained()
 
@@ -296,6 +296,8 @@ def train(
     codes = np.array(sorted({c for c, _ in [*every, *marked]}), dtype=np.int64)
     clean, toxic = (np.array([marked[c, y] for c in codes], dtype=float) for y in (0, 1))
     rest = np.maximum(np.array([every[c, 0] for c in codes], dtype=float) - clean - toxic, 0.0)
+    if not len(codes):
+        return ToxicityModel({}, -4.0, LabelModel(0.01, [], [], []))
     model = fit_label_model(codes, rest, clean, toxic)
 
     # Posterior labels of a bounded sample; a document counts for both classes, by its probability.
