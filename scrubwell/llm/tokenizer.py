@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
+from array import array
 from functools import lru_cache
 from pathlib import Path
 
@@ -14,20 +16,25 @@ import numpy as np
 _SPACELESS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 # Letters, then punctuation that starts neither a contraction nor a special token.
-_PLAIN = re.compile(rf"([{_LETTERS}]+)([!\"#$%&()*+,\-./:;=?@\[\]^_`{{}}~]*)")
+_MARKS = "!\"#$%&()*+,-./:;=?@[]^_`{}~"
+_PLAIN = re.compile(rf"([{_LETTERS}]+)([{re.escape(_MARKS)}]*)")
 
 
 class _Memory(dict):
-    """Values by key, made when first asked for; emptied at ``limit`` entries so that rare words never pile up."""
+    """Values by key, made when first asked for. At half of ``limit`` entries they become the old generation, from which
+    those that are asked for again return; so rare words never pile up and frequent ones stay."""
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit // 2, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
         if len(key) <= 64:
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -62,9 +69,16 @@ class SpacelessWords(WholeTexts):
         self.pieces = _Memory(self._piece, limit)
 
     def _merge(self, word: str) -> bytes:
-        return np.array([t.id for t in self.tokenizer.model.tokenize(word)], dtype="<u4").tobytes()
+        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(word)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _piece(self, piece: str) -> bytes:
+        letters = piece.rstrip(_MARKS)
+        if letters.isascii() and letters.isalpha():
+            ids = self.merged[letters.lower()]
+            return ids + self.merged[piece[len(letters) :]] if len(letters) < len(piece) else ids
         if plain := _PLAIN.fullmatch(piece):
             letters, marks = plain.groups()
             ids = self.merged[letters.lower().translate(self.spelled)]
@@ -72,8 +86,8 @@ class SpacelessWords(WholeTexts):
         return super().encode(piece).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        memory = self.pieces
-        return np.frombuffer(b"".join([memory[p] for p in text.replace("\n", " ").split(" ")]), dtype="<u4")
+        ids = map(self.pieces.__getitem__, text.replace("\n", " ").split(" "))
+        return np.frombuffer(b"".join(ids), dtype="<u4")
 
 
 def read_spec(path: str) -> str:
@@ -108,7 +122,7 @@ def _made(digest: str, limit: int, holder: tuple) -> WholeTexts:
     return SpacelessWords(tokenizer, limit) if spaceless else WholeTexts(tokenizer)
 
 
-def encoder(spec: str, limit: int = 300_000) -> WholeTexts:
+def encoder(spec: str, limit: int = 250_000) -> WholeTexts:
     """The encoder for a tokenizer file's content. A worker process keeps it, so later tasks find its words known."""
     return _made(hashlib.md5(spec.encode()).hexdigest(), limit, _Spec((spec,)))
 
