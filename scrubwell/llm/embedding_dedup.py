@@ -27,21 +27,21 @@ from scrubwell.llm.graphs import components, stored
 
 THRESHOLD = 0.9
 # Vectors of a tile; two tiles, their link matrix and a strip of products are in a task at a time.
-TILE = 4096
+TILE = 8192
 STRIP = 512
-# Vectors around which tiles are laid out, chosen by digest; they decide the layout only.
+# Vectors at most around which tiles are laid out, chosen by digest, one per full tile; they decide the layout only.
 PIVOTS = 256
 # Rounding of float32 products and scales, far above what they can differ by.
 SLACK = 1e-5
 
 _TILE = pa.schema(
     [
-        ("dim", pa.int32()), ("tile", pa.int32()), ("nodes", pa.list_(pa.string())), ("copies", pa.list_(pa.int64())), ("quantised", pa.binary()),
+        ("dim", pa.int32()), ("tile", pa.int32()), ("nodes", pa.list_(pa.string())), ("copies", pa.binary()), ("quantised", pa.binary()),
         ("scale", pa.binary()), ("lost", pa.binary()), ("vectors", pa.binary()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64()),
     ]
 )
 TILES = (
-    "dim int, tile int, nodes array<string>, copies array<bigint>, quantised binary, scale binary, lost binary, "
+    "dim int, tile int, nodes array<string>, copies binary, quantised binary, scale binary, lost binary, "
     "vectors binary, centre array<double>, radius double"
 )
 
@@ -61,17 +61,19 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def _build(keys: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    """A tile from its nodes."""
+    """A tile from its nodes, in the order of their names. The vectors are kept as they came."""
     dim, tile = keys[0].as_py(), keys[1].as_py()
-    vectors = unit(group.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64))
+    group = group.sort_by("node")
+    given = group.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    vectors = unit(given.astype(np.float64))
     q, scale, lost = quantise(vectors)
     mean = vectors.mean(axis=0)
     length = np.linalg.norm(mean)
     centre = mean / length if length > 1e-9 else vectors[0]
     radius = float(np.arccos(np.clip((vectors @ centre).min() - 1e-9, -1, 1)))
     values = [
-        dim, tile, group.column("node").to_pylist(), group.column("copies").to_pylist(), q.tobytes(), scale.tobytes(), lost.tobytes(),
-        vectors.tobytes(), centre.tolist(), radius,
+        dim, tile, group.column("node").to_pylist(), group.column("copies").to_numpy().tobytes(), q.tobytes(), scale.tobytes(),
+        lost.tobytes(), given.tobytes(), centre.tolist(), radius,
     ]
     return pa.Table.from_arrays([pa.array([v], t.type) for v, t in zip(values, _TILE, strict=True)], schema=_TILE)
 
@@ -80,11 +82,12 @@ class Tile:
     """One side of a tile pair."""
 
     def __init__(self, row: dict, side: str, dim: int):
-        self.nodes = np.array(row[f"nodes_{side}"], dtype=object)
-        self.copies = np.array(row[f"copies_{side}"], dtype=np.int64)
+        self.copies = np.frombuffer(row[f"copies_{side}"], dtype=np.int64)
         self.q = np.frombuffer(row[f"quantised_{side}"], dtype=np.int8).reshape(-1, dim)
         self.scale, self.lost = (np.frombuffer(row[f"{c}_{side}"], dtype=np.float64) for c in ("scale", "lost"))
-        self.vectors = np.frombuffer(row[f"vectors_{side}"], dtype=np.float64).reshape(-1, dim)
+        kind = np.float32 if len(row[f"vectors_{side}"]) == 4 * self.q.size else np.float64
+        self.vectors = unit(np.frombuffer(row[f"vectors_{side}"], dtype=kind).reshape(-1, dim).astype(np.float64))
+        self.first = (dim << 48) + (row[f"tile_{side}"] << 24)
 
 
 def link_matrix(a: Tile, b: Tile, threshold: float) -> np.ndarray:
@@ -146,7 +149,7 @@ def _pair_roots(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _comparer(threshold: float):
-    schema = pa.schema([("node", pa.string()), ("n", pa.int64()), ("root", pa.string())])
+    schema = pa.schema([("number", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
@@ -162,7 +165,7 @@ def _comparer(threshold: float):
                 sides = [(a, links @ b.copies, of_rows), (b, links.T @ a.copies, of_columns)]
             for tile, n, roots in sides:
                 has = np.flatnonzero(n)
-                arrays = [pa.array(tile.nodes[has], pa.string()), pa.array(n[has]), pa.array(a.nodes[roots[has]], pa.string())]
+                arrays = [pa.array(tile.first + has), pa.array(n[has]), pa.array(a.first + roots[has])]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return compare
@@ -173,9 +176,10 @@ def _usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(broken, F.lit(False)) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _layout(nodes: DataFrame, tile: int) -> DataFrame:
+def _layout(nodes: DataFrame, tile: int, kind: str) -> DataFrame:
     """The nodes with ``tile``, their place in the layout: by nearest pivot, large surroundings split by digest."""
-    pivots = nodes.orderBy("node").select("dim", "vector").limit(PIVOTS).collect()  # PIVOTS vectors at most
+    wanted = min(PIVOTS, -(-nodes.count() // tile))
+    pivots = nodes.orderBy("node").select("dim", "vector").limit(wanted).collect()
     by_dim = {d: unit(np.array([p["vector"] for p in pivots if p["dim"] == d], dtype=np.float64)) for d in {p["dim"] for p in pivots}}
     sent = nodes.sparkSession.sparkContext.broadcast(by_dim)
 
@@ -191,8 +195,8 @@ def _layout(nodes: DataFrame, tile: int) -> DataFrame:
             columns = [*batch.columns, pa.array(own, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "pivot"])
 
-    schema = "node string, dim int, vector array<double>, vec_id bigint, copies bigint, pivot int"
-    assigned = stored(nodes.select("node", "dim", "vector", "vec_id", "copies").mapInArrow(assign, schema), "assigned")
+    schema = f"node string, dim int, vector array<{kind}>, copies bigint, pivot int"
+    assigned = stored(nodes.select("node", "dim", "vector", "copies").mapInArrow(assign, schema), "assigned")
     sizes = assigned.groupBy("dim", "pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("parts"))
     before = Window.partitionBy("dim").orderBy("pivot").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("start", F.coalesce(F.sum("parts").over(before), F.lit(0)).cast("int"))
@@ -203,7 +207,8 @@ def _layout(nodes: DataFrame, tile: int) -> DataFrame:
 def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """A row per vector: ``vec_id``, ``n_links`` (other vectors with a cosine of ``threshold`` or more), ``component_id``
     (smallest id reachable by links), ``kept`` (whether that is its own)."""
-    vector = F.transform(embeddings[vector_col].cast("array<double>"), lambda x: x + 0.0)  # no negative zeros
+    kind = "float" if embeddings.schema[vector_col].dataType.elementType.typeName() == "float" else "double"
+    vector = F.transform(embeddings[vector_col].cast(f"array<{kind}>"), lambda x: x + F.lit(0.0).cast(kind))  # no negative zeros
     rows = embeddings.select(embeddings[id_col].cast("bigint").alias("vec_id"), vector.alias("vector"))
     node = F.when(_usable(F.col("vector")), F.concat_ws("-", F.hex(F.xxhash64("vector")), F.hex(F.xxhash64(F.lit(1), "vector"))))
     rows = stored(rows.select("vec_id", "vector", node.alias("node")), "vectors")
@@ -211,7 +216,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int
         F.first("vector").alias("vector"), F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")
     )
     nodes = stored(nodes.withColumn("dim", F.size("vector")), "nodes")
-    placed = _layout(nodes, tile).select("dim", "tile", "node", "copies", "vector")
+    placed = _layout(nodes, tile, kind).select("dim", "tile", "node", "copies", "vector")
     tiles = stored(placed.groupBy("dim", "tile").applyInArrow(_build, TILES), "tiles")
 
     # Each tile with itself and with every later one in a circle, half of the circle, so all tiles have alike many.
@@ -224,14 +229,16 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int
     dot = F.aggregate(F.zip_with("centre", "centre_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) - F.col("radius") - F.col("radius_b")
     near = stored(pairs.join(other, ["dim", "tile_b"]).filter(apart <= float(np.arccos(threshold)) + 1e-6).select("dim", "tile_a", "tile_b"), "tile-pairs")
-    side = lambda s: tiles.select("dim", *[F.col(c).alias(f"{c}_{s}") for c in ("tile", "nodes", "copies", "quantised", "scale", "lost", "vectors")])  # noqa: E731, E501
+    side = lambda s: tiles.select("dim", *[F.col(c).alias(f"{c}_{s}") for c in ("tile", "copies", "quantised", "scale", "lost", "vectors")])  # noqa: E731, E501
     wide = near.join(side("a"), ["dim", "tile_a"]).join(side("b"), ["dim", "tile_b"])
-    found = stored(wide.mapInArrow(_comparer(threshold), "node string, n bigint, root string"), "links")
-
-    counts = found.groupBy("node").agg(F.sum("n").alias("n"))
-    roots = components(found.select("node", "root"), "node", "root")
-    part = nodes.select("node", "vec_id", "copies").join(counts, "node", "left").join(roots, "node", "left")
-    part = part.select("node", "vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    found = stored(wide.mapInArrow(_comparer(threshold), "number bigint, n bigint, root bigint"), "links")
+
+    counts = found.groupBy("number").agg(F.sum("n").alias("n"))
+    roots = components(found.select("number", "root"), "number", "root").withColumnRenamed("node", "number")
+    numbers = tiles.select("dim", "tile", F.posexplode("nodes").alias("at", "node"))
+    numbers = numbers.select("node", (F.shiftleft(F.col("dim").cast("bigint"), 48) + F.shiftleft(F.col("tile").cast("bigint"), 24) + F.col("at")).alias("number"))
+    part = nodes.select("node", "vec_id", "copies").join(numbers, "node").join(counts, "number", "left").join(roots, "number", "left")
+    part = part.select("node", "vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "number").alias("component"))
     part = stored(part, "parts")
     least = part.groupBy("component").agg(F.min("vec_id").alias("component_id"))
     part = stored(part.join(least, "component").select("node", "n_links", "component_id"), "parts")
