@@ -132,7 +132,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "d
     aligned = wide.mapInArrow(align, "serial bigint, rarest bigint, deleted array<int>")
     # A document has no more partners than lines.
     cut = aligned.groupBy("serial").agg(F.min("rarest").alias("rarest"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("deleted")))).alias("deleted"))
-    joined = lined.select("row", "text", "serial").join(stored(cut, "deletions"), "serial", "left")
+    # Always by shuffle: how many documents lose lines has no bound, and the plan should not change with it.
+    joined = lined.select("row", "text", "serial").join(stored(cut, "deletions").hint("merge"), "serial", "left")
     deleted = F.coalesce("deleted", F.array().cast("array<int>"))
     own = F.split("text", "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), deleted), lambda i: F.get(own, i))
