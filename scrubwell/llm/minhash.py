@@ -34,6 +34,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 # Rounds of comparing a bucket's members with its centre before what is left is compared pair by pair.
 STAR_ROUNDS = 2
+# Members of a bucket that meet as many others in one group of that comparison.
+BLOCK = 256
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SKETCH = pa.schema(
@@ -157,8 +159,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
     Shuffled are keys of 24 bytes per band and distinct text, and once the texts that share a band with another. In a
     bucket, members are first compared with its centre, the one that shares most bands: as many pairs as members.
-    Links so found join most of a large group. What is still apart in a bucket is compared with a second centre, then
-    pair by pair, leaving out pairs that are connected by then, so no link between different texts is lost.
+    Links so found join most of a large group. What is still apart in a bucket is compared with another centre, then
+    always pair by pair, leaving out pairs that are connected by then, so no link between different texts is lost.
     """
     made = stored(sketch(docs, bands, rows, id_col, text_col), "sketches")
     me = F.struct("doc_id", "row", "serial")
@@ -178,19 +180,27 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     found = source.join(first, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__row") == F.col("row")))
     texts = stored(found.groupBy("digest").agg(F.first("text").alias("text")), "texts")
 
-    links, seen, state = None, None, members.withColumn("component", F.col("digest"))
+    links, seen, used, state = None, None, None, members.withColumn("component", F.col("digest"))
     for number in range(STAR_ROUNDS + 1):
-        pairs = _star_pairs(state, similarity) if number < STAR_ROUNDS else _all_pairs(state, similarity)
+        if number < STAR_ROUNDS:
+            centres = stored(_centres(state, used), "centres")
+            pairs = _star_pairs(state, centres, similarity)
+            own = centres.select("key", "centre.digest")
+            used = own if used is None else used.union(own)
+        else:
+            pairs = _all_pairs(state, similarity)
         if seen is not None:
             either = (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high"))
             pairs = pairs.join(seen, either, "left_anti")
         pairs = stored(pairs, "pairs")
         if pairs.isEmpty():
-            break
+            continue  # other centres, and what never met a centre, may still have pairs
         done = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
         seen = done if seen is None else seen.union(done)
         new = stored(_verified(pairs, texts, similarity), "links")
         links = new if links is None else links.union(new)
+        if number == STAR_ROUNDS:
+            break
         labels = components(links, "a", "b")
         joined = members.join(labels.withColumnRenamed("node", "digest"), "digest", "left")
         labelled = stored(joined.withColumn("component", F.coalesce("component", "digest")), "members")
@@ -211,19 +221,43 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     )
 
 
-def _star_pairs(state: DataFrame, similarity: float) -> DataFrame:
-    """Members with the centre of their bucket, the one of highest degree, if they are not connected with it yet."""
-    best = state.groupBy("key").agg(F.max(F.struct("degree", "digest", "n", "component")).alias("centre"))
-    joined = state.join(stored(best, "centres"), "key").filter(F.col("component") != F.col("centre.component"))
+def _centres(state: DataFrame, used: DataFrame | None) -> DataFrame:
+    """The member of highest degree of each bucket that has not been its centre yet."""
+    free = state if used is None else state.join(used, ["key", "digest"], "left_anti")
+    return free.groupBy("key").agg(F.max(F.struct("degree", "digest", "n", "component")).alias("centre"))
+
+
+def _star_pairs(state: DataFrame, centres: DataFrame, similarity: float) -> DataFrame:
+    """Members with the centre of their bucket, if they are not connected with it yet."""
+    joined = state.join(centres, "key").filter(F.col("component") != F.col("centre.component"))
     fit = joined.filter(_near_enough("n", "centre.n", similarity))
     return fit.select(F.col("digest").alias("a"), F.col("centre.digest").alias("b")).distinct()
 
 
 def _all_pairs(state: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of a bucket that are not connected yet."""
-    left = state.select("key", F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    right = state.select("key", F.col("digest").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    joined = left.join(right, "key").filter("a < b AND c_a <> c_b").filter(_near_enough("n_a", "n_b", similarity))
+    """Pairs of a bucket that are not connected yet.
+
+    One of a pair is outside the largest component of the bucket. Those outside, and all members, are dealt into blocks, and
+    each two blocks meet on their own, so that a large bucket is the work of many tasks.
+    """
+    sizes = state.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("members", "component")).alias("top"), F.sum("members").alias("size"))
+    blocks = lambda size: F.ceil(size / F.lit(BLOCK)).cast("int")
+    largest = largest.select(
+        "key", F.col("top.component").alias("top"), blocks(F.col("size") - F.col("top.members")).alias("lefts"), blocks(F.col("size")).alias("rights")
+    ).filter("lefts > 0")
+    dealt = state.join(stored(largest, "largest"), "key").withColumn("hash", F.xxhash64("digest"))
+    place = lambda number: F.pmod("hash", number).cast("int")
+    numbers = lambda number: F.explode(F.sequence(F.lit(0), F.col(number) - 1))
+    left = dealt.filter("component <> top").select(
+        "key", F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), place("lefts").alias("x"), numbers("rights").alias("y")
+    )
+    right = dealt.select(
+        "key", F.col("digest").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), (F.col("component") == F.col("top")).alias("inside"),
+        numbers("lefts").alias("x"), place("rights").alias("y"),
+    )
+    once = F.col("inside") | (F.col("a") < F.col("b"))
+    joined = left.join(right, ["key", "x", "y"]).filter((F.col("c_a") != F.col("c_b")) & once).filter(_near_enough("n_a", "n_b", similarity))
     return joined.select("a", "b").distinct()
 
 

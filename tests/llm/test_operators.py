@@ -361,3 +361,24 @@ def test_near_duplicates_of_odd_rows(spark, documents):
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["11", "12", "14", "15", "1", "2", "3", "None", "None", "4"])
     assert minhash.drop_near_duplicates(empty(documents)).count() == 0
+
+
+@pytest.mark.parametrize("block", [minhash.BLOCK, 2])
+def test_members_unlike_the_centre_are_linked(spark, documents, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "STAR_ROUNDS", 2)
+    # All share a bucket. Its centres share most bands and are unlike everyone; groups of three are alike beside them.
+    made = lambda i, k: " ".join([*[f"{k}x{j}" for j in range(60)], *([f"y{i}"] if i else [])])
+    rows = [(10 * k + i, made(i, name)) for k, name in enumerate("abcd") for i in range(3)] + [(100 + i, made(0, f"u{i}")) for i in range(6)]
+    longer = [(200, "z " * 3000 + "end"), (201, " ".join(f"long{j}" for j in range(900)))]  # no pair with these passes the filter by size
+    sketched = minhash.sketch
+
+    def one_bucket(*args, **options):
+        found = sketched(*args, **options)
+        key = lambda *bands: minhash.F.array(*[minhash.F.lit(x).cast("bigint") for x in bands])
+        return found.withColumn("bands", minhash.F.when(minhash.F.col("doc_id").between(100, 201), key(1, 2, 3)).otherwise(key(1)))
+
+    monkeypatch.setattr(minhash, "sketch", one_bucket)
+    found = {r.doc_id: (r.class_id, r.class_size) for r in minhash.near_duplicates(documents(*rows, *longer)).collect()}
+    wanted = {i: (10 * (i // 10), 3) if i < 100 else (i, 1) for i, _ in [*rows, *longer]}
+    assert found == wanted
