@@ -4,10 +4,15 @@ A line is what stands between line ends, without blanks around it; lines of fewe
 no search, though they go with a block that surrounds them. The documents' order is their id, NULL first, then content.
 
 A line that several documents hold pairs each later document with the first that holds it, so a line of half of all
-documents gives one pair each and never all pairs. Per pair the rarest of the shared lines is noted. Both documents' lines
-are aligned by patience diff: lines that occur once in either, in the longest order that both share, divide the texts; between
-them it goes on, and ends of equal lines are matched. An aligned run of lines is a block; blocks with a line of ``min_chars``
-or more are deleted from the later document. The first document to hold a line keeps it, whatever is deleted elsewhere.
+documents gives one pair each and never all pairs. A short line goes with the long one next before or after it: the stretch
+from that to the short line is a seed of its own, so that a block of two later documents meets the first that holds all of
+it, even if other documents held its long lines before. Per pair the rarest of the shared lines is noted. Both documents'
+lines are aligned by patience diff: lines that occur once in either, in the longest order that both share, divide the texts;
+between them it goes on, and ends of equal lines are matched. An aligned run of lines is a block; blocks with a line of
+``min_chars`` or more are deleted from the later document. An alignment has one order and takes a line once: blocks that
+stand in another order, or more often, in the later document are found by their lines and deleted too. So a document loses
+what a comparison with every earlier document would delete. The first document to hold a line keeps it, whatever is deleted
+elsewhere.
 
 Lines are compared by 64-bit digests. NULL texts stay NULL and empty texts empty. Equal rows are equal documents in order,
 of which the first keeps its text. A table without rows gives none.
@@ -15,11 +20,13 @@ of which the first keeps its text. A table without rows gives none.
 
 from __future__ import annotations
 
+import struct
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,8 +80,27 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _common_runs(a: list[int], b: list[int], long_in_b: list[bool]) -> set[int]:
+    """Places in ``b`` of long lines that ``a`` holds, and of short lines that follow one in ``a`` by the same lines as in ``b``."""
+    long_lines = {x for x, long in zip(b, long_in_b, strict=True) if long}
+    steps: dict[tuple[int, int], int] = {}  # a tree of the runs in a that begin with a long line, as (run before, line)
+    run = -1
+    for x in a:
+        if x in long_lines:
+            run = steps.setdefault((-1, x), len(steps))
+        elif run >= 0:
+            run = steps.setdefault((run, x), len(steps))
+    out = set()
+    run = -1
+    for j, (x, long) in enumerate(zip(b, long_in_b, strict=True)):
+        run = steps.get((-1, x), -1) if long else steps.get((run, x), -1) if run >= 0 else -1
+        if run >= 0:
+            out.add(j)
+    return out
+
+
 def common_blocks(a: list[int], b: list[int], long_in_b: list[bool]) -> list[int]:
-    """Places in ``b`` of aligned blocks that hold a long line."""
+    """Places in ``b`` of blocks that hold a long line: those aligned, then those that cross them or repeat what is aligned."""
     out: list[int] = []
     block: list[int] = []
     has_long, before = False, None
@@ -85,6 +111,21 @@ def common_blocks(a: list[int], b: list[int], long_in_b: list[bool]) -> list[int
         block.append(j)
         has_long = has_long or (j >= 0 and long_in_b[j])
         before = (i, j)
+    if len(out) == len(b):
+        return out
+    forward, backward = _common_runs(a, b, long_in_b), _common_runs(a[::-1], b[::-1], long_in_b[::-1])
+    return sorted({*out, *forward, *(len(b) - 1 - j for j in backward)})
+
+
+def _runs(lines: list[int], long: list[bool]) -> set[int]:
+    """64-bit digests of the stretches from a long line to each short line after it, up to the next long one."""
+    out, run = set(), None
+    for x, is_long in zip(lines, long, strict=True):
+        if is_long:
+            run = x
+        elif run is not None:
+            run = xxhash.xxh3_64_intdigest(struct.pack("<qq", run, x)) - (1 << 63)
+            out.add(run)
     return out
 
 
@@ -106,17 +147,26 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "d
         for batch in pieces(batches):
             numbers = pa.array(range(serial, serial + batch.num_rows), pa.int64())
             serial += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, numbers], names=[*batch.schema.names, "serial"])
+            runs = []
+            for own, long in zip(batch.column("lines").to_pylist(), batch.column("long").to_pylist(), strict=True):
+                own, long = own or [], long or []
+                some = any(long) and not all(long)
+                runs.append([*_runs(own, long), *(~x for x in _runs(own[::-1], long[::-1]))] if some else [])
+            arrays = [*batch.columns, numbers, pa.array(runs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "serial", "runs"])
 
     long_ = F.transform("lines", lambda line: F.length(line) >= min_chars)
     lined = base.select("row", "id", "content", "text", F.transform("lines", lambda line: F.xxhash64(line)).alias("lines"), long_.alias("long"))
-    lined = stored(lined.mapInArrow(number, lined.withColumn("serial", F.lit(0).cast("bigint")).schema), "lines")
+    numbered = lined.withColumns({"serial": F.lit(0).cast("bigint"), "runs": F.array().cast("array<bigint>")})
+    lined = stored(lined.mapInArrow(number, numbered.schema), "lines")
 
     place = F.struct("id", "content", "serial")  # order of documents; NULL ids first
     seeds = lined.select(place.alias("place"), F.explode(F.array_distinct(F.filter("lines", lambda line, i: F.get("long", i)))).alias("line"))
-    firsts = seeds.groupBy("line").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("holders")).filter("holders > 1")
-    held = seeds.join(stored(firsts, "first-holders"), "line").filter("place <> first")
-    pairs = stored(held.groupBy("place", "first").agg(F.min("holders").alias("rarest")), "pairs")
+    seeds = seeds.select("place", "line", F.lit(False).alias("is_run"))
+    seeds = seeds.union(lined.select(place, F.explode("runs"), F.lit(True)))
+    firsts = seeds.groupBy("line", "is_run").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    held = seeds.join(stored(firsts, "first-holders"), ["line", "is_run"]).filter("place <> first")
+    pairs = stored(held.groupBy("place", "first").agg(F.min(F.when(~F.col("is_run"), F.col("holders"))).alias("rarest")), "pairs")
     side = lined.select(F.col("serial"), "lines", "long")
     early = side.select(F.col("serial").alias("first_serial"), F.col("lines").alias("early"))
     wide = pairs.select(F.col("place.serial").alias("serial"), F.col("first.serial").alias("first_serial"), "rarest")
@@ -130,7 +180,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "d
             yield pa.RecordBatch.from_arrays(arrays, names=["serial", "rarest", "deleted"])
 
     aligned = wide.mapInArrow(align, "serial bigint, rarest bigint, deleted array<int>")
-    # A document has no more partners than lines.
+    # A document has no more partners than lines and stretches.
     cut = aligned.groupBy("serial").agg(F.min("rarest").alias("rarest"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("deleted")))).alias("deleted"))
     # Always by shuffle: how many documents lose lines has no bound, and the plan should not change with it.
     joined = lined.select("row", "text", "serial").join(stored(cut, "deletions").hint("merge"), "serial", "left")

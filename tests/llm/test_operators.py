@@ -326,6 +326,32 @@ def test_later_copies_lose_their_lines(spark, documents):
     assert line_dedup.repeated_lines(empty(documents)).count() == 0
 
 
+def shared_places(a, b, long_in_b):
+    """Places in b of runs of lines with a long one that a holds, tried one by one."""
+    runs = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
+    every = [range(i, j) for i in range(len(b)) for j in range(i + 1, len(b) + 1)]
+    return {k for r in every if any(long_in_b[x] for x in r) and tuple(b[r.start : r.stop]) in runs for k in r}
+
+
+@given(st.lists(st.integers(0, 5), max_size=12), st.lists(st.integers(0, 5), max_size=12))
+@settings(max_examples=150, deadline=None)
+def test_blocks_in_another_order_or_repeated(a, b):
+    long_in_b = [x < 3 for x in b]
+    assert set(line_dedup.common_blocks(a, b, long_in_b)) == shared_places(a, b, long_in_b)
+
+
+def test_lines_equal_the_comparison_of_all_overlapping_pairs(spark, documents):
+    rng = random.Random(5)
+    line = lambda k: f"ok {k}" if k >= 5 else f"this is a rather long line number {k}"
+    picks = [[0, 1], [1, 0], [1, 0], [6, 2, 7], [3, 2, 4, 2, 0], [2, 7, 0], [0, 5, 1], [1, 5, 0], [1, 5, 0]]
+    picks += [[rng.randrange(8) for _ in range(rng.randrange(9))] for _ in range(40)]
+    docs = {i: [line(k) for k in own] for i, own in enumerate(picks)}
+    found = {r.row.doc_id: r.deleted for r in line_dedup.repeated_lines(documents(*[(i, "\n".join(x)) for i, x in docs.items()])).collect()}
+    for i, own in docs.items():
+        long = [len(x) >= 20 for x in own]
+        assert found[i] == sorted(set().union(*(shared_places(docs[p], own, long) for p in range(i))))
+
+
 # ---- near duplicates
 
 
