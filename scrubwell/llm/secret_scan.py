@@ -3,7 +3,7 @@
 Three kinds are patterns alone: ``assign`` (a value assigned to a telling name), ``access`` (an access key id) and ``hex``
 (a long run of hex digits). Four kinds are confirmed by decoding: a candidate in base64 or hex is reported as
 
-* ``pem``: a private-key block whose body decodes to one of the forms below,
+* ``pem``: a private-key block whose body, its line ends as they are or escaped, decodes to one of the forms below,
 * ``der``: base64 or hex of ASN.1 DER that begins as a key does and whose nested lengths add up to the last byte,
 * ``wire``: base64 or hex of an OpenSSH key, a chain of length-prefixed fields that adds up to the last byte,
 * ``jwt``: three base64url parts of which the first decodes to a JSON object naming its algorithm and the second to a
@@ -33,14 +33,17 @@ _ASSIGN = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_HEX_KEY = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{64,}|[0-9A-F]{64,})(?![0-9A-Za-z])")
-_BASE64_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}={0,2}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
-_JWT = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+# An escaped line end or tab, as in JSON and code, delimits too: its letter is no part of a candidate.
+_ESCAPED = r"(?<=\\[nrt])"
+_HEX_KEY = re.compile(rf"(?:{_ESCAPED}|(?<![0-9A-Za-z]))[0-9A-Fa-f]{{64,}}(?![0-9A-Za-z])")
+_BASE64_KEY = re.compile(rf"(?:{_ESCAPED}|(?<![A-Za-z0-9+/_-])(?!(?<=\\)[nrt]))[A-Za-z0-9+/_-]{{40,}}={{0,2}}")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]*)-----END \1-----")
+_BREAK = re.compile(r"\\+[nrt]?|\s+")
+_JWT = re.compile(rf"(?:{_ESCAPED}|(?<![A-Za-z0-9_.-])(?!(?<=\\)[nrt]))[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{2,}}\.[A-Za-z0-9_-]*")
 # No candidate but an assignment is shorter than this without a blank inside.
 _SHORTEST = 24
 # Elements that a DER key begins with: a version number, an algorithm, or a curve's private number.
-_INTEGER, _OCTETS, _OBJECT, _SEQUENCE, _BITS = 0x02, 0x04, 0x06, 0x30, 0x03
+_INTEGER, _OCTETS, _OBJECT, _SEQUENCE, _BITS, _NULL = 0x02, 0x04, 0x06, 0x30, 0x03, 0x05
 
 
 def _decoded(text: str) -> bytes | None:
@@ -78,7 +81,7 @@ def _elements(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """A private or public key in DER: PKCS#1, PKCS#8, SEC1 or SubjectPublicKeyInfo."""
+    """A private or public key in DER: PKCS#1, PKCS#8 (encrypted or not), SEC1 or SubjectPublicKeyInfo."""
     if len(data) < 24 or data[0] != _SEQUENCE:
         return False
     outer = _elements(data)
@@ -93,6 +96,8 @@ def is_der_key(data: bytes) -> bool:
         return tags[1:2] == [_OCTETS] or tags.count(_INTEGER) >= 6
     if tags == [_SEQUENCE, _BITS]:
         return algorithm(inner[0][1])
+    if tags == [_SEQUENCE, _OCTETS]:  # digests have this form, but ciphers have parameters
+        return algorithm(inner[0][1]) and [t for t, _ in _elements(inner[0][1])][1:2] != [_NULL]
     return tags == [_INTEGER, _INTEGER] and len(inner[0][1]) >= 64
 
 
@@ -144,7 +149,7 @@ def find_secrets(text: str) -> list[tuple[int, str, int]]:
     if longest >= _SHORTEST and "." in text:
         found += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
     if "PRIVATE KEY-----" in text:
-        found += [("pem", *m.span()) for m in _PEM.finditer(text) if _key_kind(_decoded("".join(m[2].split())))]
+        found += [("pem", *m.span()) for m in _PEM.finditer(text) if _key_kind(_decoded(_BREAK.sub("", m[2])))]
     if longest >= 40:
         found += [(k, *m.span()) for m in _BASE64_KEY.finditer(text) if (k := _key_kind(_decoded(m[0])))]
         found += [(k, *m.span()) for m in _HEX_KEY.finditer(text) if len(m[0]) % 2 == 0 and (k := _key_kind(bytes.fromhex(m[0])))]

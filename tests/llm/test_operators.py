@@ -105,6 +105,44 @@ def test_structures_are_confirmed(text, kinds):
     assert all(0 <= s < e <= len(text) for s, _, e in found)
 
 
+PBES2 = der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d") + der(0x30, der(0x30, der(6, b"\x2a\x03")) + der(0x30, der(6, b"\x2b\x04"))))
+ENCRYPTED = der(0x30, PBES2 + der(4, b"\x5a" * 96))
+SHA256 = der(0x30, der(0x30, der(6, b"\x60\x86\x48\x01\x65\x03\x04\x02\x01") + der(5, b"")) + der(4, b"\x11" * 32))
+KEY64, WIRE64 = base64.b64encode(KEY).decode(), base64.b64encode(WIRE).decode()
+MIXED = KEY.hex()[:40].upper() + KEY.hex()[40:-2] + "aF"
+
+
+def pem(label, data, end):
+    return end.join([f"-----BEGIN {label}-----", *base64.encodebytes(data).decode().split(), f"-----END {label}-----"]) + end
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted", "span"),
+    [
+        (f"PRIVATE_KEY={KEY64}\n", "der", KEY64),
+        (f"https://example.org/?a=1&key={WIRE64}&b=2", "wire", WIRE64),
+        (f'{{"key": "one\\n{KEY64}\\n"}}', "der", KEY64),
+        (f"one\\r\\n{WIRE64}", "wire", WIRE64),
+        (f"token\\t{JWT}", "jwt", JWT),
+        (f"one\\n{MIXED}", "der", MIXED),
+        (f"see {MIXED} end", "der", MIXED),
+        (json.dumps({"private_key": pem("PRIVATE KEY", KEY, "\n")}), "pem", pem("PRIVATE KEY", KEY, "\\n")[:-2]),
+        (json.dumps(pem("PRIVATE KEY", KEY, "\r\n")), "pem", pem("PRIVATE KEY", KEY, "\\r\\n")[:-4]),
+        (json.dumps(json.dumps(pem("PRIVATE KEY", KEY, "\n"))), "pem", pem("PRIVATE KEY", KEY, "\\\\n")[:-3]),
+        (pem("PRIVATE KEY", KEY, "\\\n"), "pem", pem("PRIVATE KEY", KEY, "\\\n")[:-2]),
+        (pem("ENCRYPTED PRIVATE KEY", ENCRYPTED, "\n"), "pem", pem("ENCRYPTED PRIVATE KEY", ENCRYPTED, "\n")[:-1]),
+        (f"see {base64.b64encode(ENCRYPTED).decode()}", "der", base64.b64encode(ENCRYPTED).decode()),
+    ],
+)
+def test_structures_after_any_delimiter(text, wanted, span):
+    at = text.index(span)
+    assert (at, wanted, at + len(span)) in secret_scan.find_secrets(text)
+
+
+def test_a_digest_is_no_key():
+    assert secret_scan.find_secrets("see " + base64.b64encode(SHA256).decode()) == []
+
+
 def test_secrets_of_odd_rows(spark, documents):
     rows = secret_scan.span_digests(secret_scan.scan_secrets(documents(*ODD, (5, "token=" + "a" * 400_000), (6, "password: hunter2 AKIA" + "A" * 16)))).collect()
     found = {r.doc_id: (r.n_assign, r.n_access, r.n_hex) for r in rows}
