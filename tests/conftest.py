@@ -24,15 +24,6 @@ def spark():
     session.stop()
 
 
-def rows(df):
-    """Rows as sorted tuples, NULL first."""
-    return sorted((tuple(r) for r in df.collect()), key=lambda t: [(v is not None, str(v)) for v in t])
-
-
-def by(df, key="column"):
-    return {r[key]: r.asDict() for r in df.collect()}
-
-
 @pytest.fixture(scope="session")
 def nulls(spark):
     """NULL, NaN and empty cells, a column without values, a constant one, every type class."""

@@ -3,7 +3,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 import scrubwell as sw
-from conftest import rows
+from helpers import rows
 from scrubwell.operators import duplicates
 
 DATA = [("a", 1, "x"), ("a", 1, "x"), ("a", 1, "y"), ("b", 2, "x"), (None, 3, "x"), (None, 3, "z"), ("c", None, "x")]

@@ -1,7 +1,7 @@
 import pytest
 
 import scrubwell as sw
-from conftest import by, rows
+from helpers import by, rows
 
 
 def test_counts_null_and_empty_string_but_not_nan(nulls):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 
 import scrubwell as sw
-from conftest import by, rows
+from helpers import by, rows
 from scrubwell.operators import features as features_module
 from scrubwell.operators.evaluate import evaluate
 

@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 import scrubwell as sw
-from conftest import rows
+from helpers import rows
 
 
 @pytest.fixture(scope="module")

@@ -3,7 +3,7 @@ import math
 import pytest
 
 import scrubwell as sw
-from conftest import by, rows
+from helpers import by, rows
 
 
 @pytest.fixture(scope="module")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 import scrubwell as sw
-from conftest import by, rows
+from helpers import by, rows
 from scrubwell.functions.indexing import frequency_index
 
 
