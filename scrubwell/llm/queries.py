@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scrubwell.functions.storage import fresh_path
 from scrubwell.llm import (
-    chat, decontamination, embedding_dedup, line_dedup, minhash, mixing, secret_scan, token_counts, token_files, toxicity,
+    chat, decontamination, embedding_dedup, filter_audit, line_dedup, minhash, mixing, secret_scan, token_counts, token_files, toxicity,
 )
 from scrubwell.llm.batches import reach_workers
 
@@ -219,3 +219,39 @@ _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')
 def op7_decontamination(spark, sf_dir):
     found = decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return decontamination.leak_digests(found)
+
+
+@query(
+    "op11_filter_audit",
+    r"""
+    WITH docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+    split AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM docs),
+    marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+    failing AS (
+      SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             CASE WHEN len(words) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+             || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END
+             || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails
+      FROM split LEFT JOIN marks USING (doc_id)),
+    cells AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failing GROUP BY ALL),
+    letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+    orders AS (
+      SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+      WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+    steps AS (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+    seen AS (
+      SELECT part, filter_order, step, filter_order[step] AS filter, n, good, toxic, fails = filter_order[step] AS alone,
+             contains(fails, filter_order[step]) AS now, length(translate(filter_order[1:step - 1], fails, '')) < step - 1 AS gone
+      FROM cells, steps),
+    counted AS (
+      SELECT part, filter_order, step, filter, coalesce(sum(n) FILTER (NOT now AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (now AND NOT gone), 0) AS removed,
+             coalesce(sum(n) FILTER (now AND gone), 0) AS redundant, coalesce(sum(n) FILTER (alone), 0) AS unique_fails,
+             coalesce(sum(good) FILTER (now AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (now AND NOT gone), 0) AS toxic_lost
+      FROM seen GROUP BY ALL)
+    SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+           good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
+    FROM counted
+    """,
+)
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(filter_audit.document_masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
