@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scrubwell.functions.storage import fresh_path
 from scrubwell.llm import (
-    chat, decontamination, embedding_dedup, filter_audit, line_dedup, minhash, mixing, secret_scan, token_counts, token_files, toxicity,
+    byte_bpe, chat, decontamination, embedding_dedup, filter_audit, line_dedup, minhash, mixing, secret_scan, token_counts, token_files, toxicity,
 )
 from scrubwell.llm.batches import reach_workers
 
@@ -255,3 +255,12 @@ def op7_decontamination(spark, sf_dir):
 )
 def op11_filter_audit(spark, sf_dir):
     return filter_audit.audit(filter_audit.document_masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+
+
+@query("op13_byte_bpe")
+def op13_byte_bpe(spark, sf_dir):
+    path = public_tokenizers.path(BYTE_TOKENIZER)
+    return byte_bpe.code_digests(byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"]), path))
