@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scrubwell.functions.storage import fresh_path
 from scrubwell.llm import (
-    byte_bpe, chat, decontamination, embedding_dedup, filter_audit, line_dedup, minhash, mixing, secret_scan, token_counts, token_files, toxicity,
+    byte_bpe, chat, decontamination, embedding_dedup, filter_audit, line_dedup, minhash, mixing, secret_scan, token_alignment, token_counts, token_files, toxicity,
 )
 from scrubwell.llm.batches import reach_workers
 
@@ -264,3 +264,14 @@ BYTE_TOKENIZER = "byte_bpe_50k.json"
 def op13_byte_bpe(spark, sf_dir):
     path = public_tokenizers.path(BYTE_TOKENIZER)
     return byte_bpe.code_digests(byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"]), path))
+
+
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    paths = public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_MODEL)
+    found = token_alignment.alignment(docs, *paths, keep=["doc_id"], digest=True)
+    return found.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
