@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from scrubwell.functions.storage import fresh_path
 from scrubwell.llm.batches import pieces, texts
-from scrubwell.llm.byte_bpe import GROUP, MEMORY, SEGMENT, Encoder, SharedVocabulary
+from scrubwell.llm.byte_bpe import GROUP, LONG_WORD, MEMORY, SEGMENT, Encoder, SharedVocabulary
 
 # Pairs whose counts are broadcast: 17 bytes each.
 HOT_PAIRS = 1 << 20
@@ -60,20 +61,32 @@ class PieceEncoder:
         probe = self.model.encode("  a  b \n c ")
         kept = b"".join(self.tokens[i] for i in probe) == b"   a  b \n c "
         self.by_chunk = kept and not any(_BLANK in n.lstrip(_BLANK) for n in names)
-        self.known: dict[str, bytes | None] = {}
+        self.lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
+        self.known: dict[str, bytes] = {}
+        self.odd: set[str] = set()
 
     def split(self, segment: str) -> list[str]:
         return _chunks(segment) if self.by_chunk else [segment]
 
-    def learn(self, chunks: set[str]) -> None:
-        """Finds the ids of these chunks, which start with the blank that the model adds; ``None`` if their bytes differ."""
+    def learn(self, chunks: set[str]) -> list[str]:
+        """Finds the ids of these chunks, which start with the blank that the model adds; those whose bytes differ are
+        ``odd``. Returns the new ones that are too long to be remembered."""
         new = [c for c in chunks if c not in self.known]
         if len(self.known) + len(new) > MEMORY:
             self.known = {c: self.known[c] for c in chunks if c in self.known}
+            self.odd &= chunks
         found = self.model.encode([c[1:] for c in new], num_threads=1) if new else []
-        for chunk, ids in zip(new, found, strict=True):
-            same = b"".join([self.tokens[i] for i in ids]) == chunk.encode()
-            self.known[chunk] = np.array(ids, dtype="<u4").tobytes() if same else None
+        counts = np.array([len(ids) for ids in found], dtype=np.int64)
+        flat = np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(counts.sum()))
+        data, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        self.known.update(zip(new, (data[e - 4 * n : e] for e, n in zip(ends, counts.tolist(), strict=True)), strict=True))
+        spelled = [c.encode() for c in new]
+        widths = np.diff(np.append(0, np.cumsum(self.lengths[flat]))[np.append(0, np.cumsum(counts))])
+        if widths.tolist() != [len(c) for c in spelled] or b"".join([self.tokens[i] for i in flat.tolist()]) != b"".join(spelled):
+            for chunk, ids, wanted in zip(new, found, spelled, strict=True):
+                if b"".join([self.tokens[i] for i in ids]) != wanted:
+                    self.odd.add(chunk)
+        return [c for c in new if len(c) > LONG_WORD]
 
 
 _PIECE_ENCODERS: dict[str, PieceEncoder] = {}
@@ -147,19 +160,19 @@ class Aligner:
 
     def _encoded(self, group: list[tuple[int, str]], out: list[_Figures]) -> list[tuple[int, bytes, bytes]]:
         words, chunks = [self.a.split(s) for _, s in group], [self.b.split(s) for _, s in group]
-        long = self.a.learn(words)
-        self.b.learn(set().union(*chunks))
+        long_words, long_chunks = self.a.learn(words), self.b.learn(set().union(*chunks))
         found = []
         for (document, _), own_words, own_chunks in zip(group, words, chunks, strict=True):
-            parts = [self.b.known[c] for c in own_chunks]
-            if None in parts:
+            if self.b.odd and not self.b.odd.isdisjoint(own_chunks):
                 out[document].faithful = False
             else:
-                found.append((document, b"".join(map(self.a.words.__getitem__, own_words)), b"".join(parts)))
-        for word in long:
+                ids = b"".join(map(self.a.words.__getitem__, own_words)), b"".join(map(self.b.known.__getitem__, own_chunks))
+                found.append((document, *ids))
+        for word in long_words:
             del self.a.words[word]
-        for chunk in {c for own in chunks for c in own if len(c) > 64}:
-            self.b.known.pop(chunk, None)
+        for chunk in long_chunks:
+            del self.b.known[chunk]
+        self.b.odd.difference_update(long_chunks)
         return found
 
     def _align(self, group: list[tuple[int, str]], out: list[_Figures]) -> None:
