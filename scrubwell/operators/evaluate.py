@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier,
+    DecisionTreeClassifier, LogisticRegression, RandomForestClassifier,
 )
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from scrubwell.functions.columns import local_rows, ref, require, string_columns
 from scrubwell.functions.rows import content_digest
-from scrubwell.operators.features import TASKS, TEXT_CHARS, fit_features, prepare_rows, text_features
+from scrubwell.operators.features import TASKS, TEXT_CHARS, fit_features, label_index, prepare_rows, text_features
 from scrubwell.operators.metrics import classification_metrics, regression_metrics
 from scrubwell.operators.resample import SEED, TRAIN_PERCENT, split_point
 from scrubwell.operators.timestamps import timestamp_features
+from scrubwell.operators.words import fit_naive_bayes
 from scrubwell.plans.cleaning import CleaningPlan
 
 METRICS = {
@@ -28,12 +29,13 @@ METRICS = {
 
 
 def models(task: str, bins: int, tree_column: str = "features") -> dict[str, object]:
-    """The models of a task. Trees get as many bins as the richest category needs, and read ``tree_column``."""
+    """The models of a task. Trees get as many bins as the richest category needs, and read ``tree_column``. The text task
+    has a function that learns from tables."""
     if task == "regression":
         return {
             "Linear Regression": LinearRegression(),
-            "Decision Tree": DecisionTreeRegressor(maxBins=bins),
-            "Random Forest": RandomForestRegressor(maxBins=bins, seed=SEED),
+            "Decision Tree": DecisionTreeRegressor(maxBins=bins, featuresCol=tree_column),
+            "Random Forest": RandomForestRegressor(maxBins=bins, seed=SEED, featuresCol=tree_column),
         }
     if task == "classification":
         return {
@@ -42,7 +44,7 @@ def models(task: str, bins: int, tree_column: str = "features") -> dict[str, obj
             "Random Forest": RandomForestClassifier(numTrees=20, maxBins=bins, seed=SEED, featuresCol=tree_column),
         }
     if task == "text_classification":
-        return {"Naive Bayes": NaiveBayes()}
+        return {"Naive Bayes": fit_naive_bayes}
     raise ValueError(f"unknown task {task!r}, expected one of {', '.join(TASKS)}")
 
 
@@ -88,8 +90,8 @@ def evaluate(
     Features are fitted once and shared by the models, which read them from a persisted table. ``train_steps`` are
     cleaning steps for the training rows alone, ``inverse`` maps labels and predictions back to the scale in which a
     regression is to be scored, ``only`` names the models to fit. Beside the metrics stand the numbers of rows trained on,
-    set apart for the test, and scored, which is smaller where test rows hold values that no training row has, and the length
-    of the feature vector. A model
+    set apart for the test, and scored, and the length of the feature vector. Linear models cannot score test rows with a
+    string that no training row has; trees and naive Bayes score all but those with such a label. A model
     that fails, or scores no row, gives a row with ``status`` "failed" and the first line of the error. Lost executors and
     full disks are no property of a model: such errors are raised.
     """
@@ -119,12 +121,16 @@ def _evaluate_rows(
         digest = content_digest(prepared, prepared.columns, seed)
         marked = prepared.select(*columns, digest.alias("__digest"), split_point(prepared, seed).alias("__point"))
         parts = max(PARTITIONS, -(-marked.count() // PARTITION_ROWS))
-        marked = hold(marked.repartition(parts, "__digest").sortWithinPartitions("__digest"))
+        # Rows are dealt and sorted by content, so a row gets the same number when its partition is made again.
+        marked = marked.repartition(parts, "__digest").sortWithinPartitions("__digest")
+        marked = hold(marked.withColumn("__row", F.monotonically_increasing_id()))
         train = marked.filter(F.col("__point") < train_percent).select(*columns)
-        test = marked.filter(F.col("__point") >= train_percent).select(*columns)
+        test = marked.filter(F.col("__point") >= train_percent).select(*columns, "__row")
         n_test = test.count()
         if train_steps is not None:
             train = hold(train_steps.apply(train))
+        if task == "text_classification":
+            return [(name, *_evaluate_words(train, test, target, n_test)) for name in names]
         try:
             texts = (
                 text_features(marked, string_columns(prepared, [target]), text_chars)
@@ -132,17 +138,19 @@ def _evaluate_rows(
             )
             features = fit_features(train, target, task, texts)
             train, test = hold(features.transform(train)), hold(features.transform(test))
-            counts = (train.count(), n_test, test.count())
+            n_train = train.count()
         except Exception as error:
             reason = _reason(error)
             return [(name, "failed", None, n_test, None, None, *blank, reason) for name in names]
         rows = []
         fresh = models(task, features.max_bins, features.tree_column)
         for name in names:
-            shown = (*counts, features.slots[fresh[name].getFeaturesCol()])
+            column = fresh[name].getFeaturesCol()
+            known = test.filter(F.col(column).isNotNull())
+            shown = (n_train, n_test, known.count(), features.slots[column])
             try:
-                scored = fresh[name].fit(train).transform(test).select("label", "prediction")
-                if counts[-1] == 0:
+                scored = fresh[name].fit(train).transform(known).select("label", "prediction")
+                if shown[2] == 0:
                     raise ValueError("no test row could be scored")
                 if task == "regression":
                     if inverse is not None:
@@ -159,6 +167,32 @@ def _evaluate_rows(
             part.unpersist()
 
 
+def _evaluate_words(train: DataFrame, test: DataFrame, target: str, n_test: int) -> tuple:
+    """A result without the name: naive Bayes from the word statistics of the training rows."""
+    blank = (None,) * len(METRICS["text_classification"])
+    n_train = n_scored = n_features = None
+    try:
+        names = [c for c in train.columns if c != target]
+        labels = label_index(train, target)
+
+        def labelled(df: DataFrame) -> DataFrame:
+            if labels:
+                return labels.attach(df, ref(target), "__label")
+            return df.withColumn("__label", ref(target).cast("double"))
+
+        ready, n_train = labelled(train), train.count()
+        model = fit_naive_bayes(ready, names, "__label")
+        n_features = model.statistics.n_features
+        known = labelled(test)
+        n_scored = known.count()
+        if n_scored == 0:
+            raise ValueError("no test row could be scored")
+        scored = model.predict(known, label="__label").select(F.col("__label").alias("label"), "prediction")
+        return ("ok", n_train, n_test, n_scored, n_features, *classification_metrics(scored).first(), None)
+    except Exception as error:
+        return ("failed", n_train, n_test, n_scored, n_features, *blank, _reason(error))
+
+
 def compare(
     raw: DataFrame,
     cleaned: DataFrame | CleaningPlan,

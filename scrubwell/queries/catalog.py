@@ -819,7 +819,8 @@ FROM counts JOIN weights USING (word) GROUP BY id""",
 def tfidf_words(spark, sf_dir):
     texts = table(spark, sf_dir, "conversations").selectExpr("conv_id * 1000 + turn AS id", "text")
     fitted = sw.fit_features(texts, "id", "text_classification")
-    return _vector_summary(fitted.transform(texts))
+    total = F.aggregate("features", F.lit(0.0), lambda a, f: a + f["weight"])
+    return fitted.transform(texts).select("label", F.size("features").alias("n_slots"), F.round(total, 3).alias("total"))
 
 
 _BAYES = (
@@ -904,19 +905,36 @@ def eval_certain_classification(spark, sf_dir):
     return sw.evaluate(orders, "grade", "classification")
 
 
+_TREE_SCORES = """
+SELECT 'Decision Tree' AS model, 'ok' AS status, (SELECT count(*) FROM parted WHERE train) AS n_train, (SELECT count(*) FROM parted WHERE NOT train) AS n_test,
+  count(*) AS n_scored, 2::BIGINT AS n_features, round(sqrt(avg((label - prediction) * (label - prediction))), 3) AS rmse,
+  round(avg((label - prediction) * (label - prediction)), 3) AS mse, NULL::VARCHAR AS error FROM guesses"""
+
+
+def _tree_on(select: str, columns: tuple[str, ...], category: str, number: str, target: str) -> str:
+    return _split_rows(select, columns).rstrip() + ", " + sql.regression_tree(category, number, target) + _TREE_SCORES
+
+
 @query(
     "eval_many_categories",
-    """WITH rows AS (SELECT c_name, c_acctbal, c_nationkey FROM customer),
-parted AS (SELECT *, {} % 100 < 80 AS train FROM rows), n AS (SELECT count(*) FILTER (train) AS a, count(*) FILTER (NOT train) AS b FROM parted)
-SELECT 'Decision Tree' AS model, 'failed' AS status, a AS n_train, b AS n_test, 0::BIGINT AS n_scored, 2::BIGINT AS n_features, NULL::DOUBLE AS rmse, NULL::DOUBLE AS mse,
-  'no test row could be scored' AS error FROM n""".format(sql.hex_number(sql.digest(("c_name", "c_acctbal", "c_nationkey")), 8)),
+    _tree_on("SELECT c_name, c_acctbal, c_nationkey FROM customer", ("c_name", "c_acctbal", "c_nationkey"), "c_name", "c_nationkey", "c_acctbal"),
 )
 def eval_many_categories(spark, sf_dir):
-    """Every customer's name is a value of its own, so no test row has one that was trained on."""
+    """Every customer's name is a value of its own, so no test row has one that was trained on: all are scored as unseen."""
     customers = table(spark, sf_dir, "customer").select("c_name", "c_acctbal", "c_nationkey")
     return sw.evaluate(customers, "c_acctbal", "regression", only=["Decision Tree"])
 
 
+@query(
+    "eval_repeated_categories",
+    _tree_on("SELECT 'u' || user_id AS who, event_id % 17 AS part, value FROM events", ("who", "part", "value"), "who", "part", "value"),
+)
+def eval_repeated_categories(spark, sf_dir):
+    """More users than a tree has bins, most of them in training and test rows."""
+    events = table(spark, sf_dir, "events").selectExpr("concat('u', user_id) AS who", "event_id % 17 AS part", "value")
+    return sw.evaluate(events, "value", "regression", only=["Decision Tree"])
+
+
 @query("eval_regression")
 def eval_regression(spark, sf_dir):
     return sw.evaluate(table(spark, sf_dir, "orders"), "o_totalprice", "regression")

@@ -3,6 +3,7 @@ import random
 
 import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.sql import functions as F
 
 import scrubwell as sw
 from helpers import by, rows
@@ -85,12 +86,40 @@ def test_feature_kinds_and_slots(learnable):
     meta = out.schema["features"].metadata["ml_attr"]
     assert meta["num_attrs"] == out.first()["features"].size == 3 + 262144
     assert meta["attrs"]["nominal"] == [{"type": "nominal", "idx": 2, "num_vals": 40}]
+    assert "attrs" not in out.schema["tree_features"].metadata["ml_attr"]  # two classes put categories in order
 
 
-def test_categories_stay_categories_however_many(spark):
+def cells(df, *columns):
+    from pyspark.ml.functions import vector_to_array
+
+    return df.select(*[vector_to_array(c).alias(c) for c in columns], "label").collect()
+
+
+def test_trees_read_categories_in_bins_however_many(spark):
     rows = spark.range(12_000).selectExpr("concat('v', id) AS kind", "id * 0.5 AS y")
     fitted = features_module.fit_features(rows, "y", "regression")
-    assert fitted.kinds == {"kind": "category"} and fitted.max_bins == 24_000
+    assert fitted.kinds == {"kind": "category"} and fitted.max_bins == 128 and fitted.tree_column == "tree_features"
+    found = {r["label"]: r["tree_features"][0] for r in cells(fitted.transform(rows), "tree_features")}
+    assert all(b == (2 * place + 1) * 64 // 24_000 for place, (_, b) in enumerate(sorted(found.items())))
+    new = fitted.transform(spark.sql("SELECT 'new' AS kind, 1.0D AS y")).first()
+    assert new["features"] is None and new["tree_features"][0] == 31.5  # where the mean of all rows lies
+
+
+def test_categories_of_several_classes_stay_categories(spark):
+    rows = spark.range(900).selectExpr("concat('k', id % 7) AS kind", "concat('c', id % 7 % 3) AS y")
+    fitted = features_module.fit_features(rows, "y", "classification", [])
+    out = fitted.transform(rows.unionByName(spark.sql("SELECT 'new' AS kind, 'c1' AS y")))
+    assert out.schema["tree_features"].metadata["ml_attr"]["attrs"]["nominal"] == [{"type": "nominal", "idx": 0, "num_vals": 8}]
+    assert {r["tree_features"][0] for r in cells(out.filter("features IS NULL"), "tree_features")} == {7.0}
+    noisy = rows.withColumn("noise", F.monotonically_increasing_id() % 90)  # equal rows are on one side of the split
+    result = sw.evaluate(noisy, "y", "classification", only=["Decision Tree"]).first()
+    assert result["accuracy"] == 100.0 and result["n_features"] == 2
+
+
+def test_more_than_a_hundred_classes(spark):
+    rows = spark.range(3000).selectExpr("id AS x", "concat('c', id % 150) AS y")
+    found = sw.evaluate(rows, "y", "classification", only=["Decision Tree"]).first()
+    assert found["status"] == "ok" and found["n_scored"] == found["n_test"]
 
 
 def test_forest_does_not_depend_on_partitions(spark):
@@ -99,11 +128,13 @@ def test_forest_does_not_depend_on_partitions(spark):
     assert few == many and few["status"] == "ok"
 
 
-def test_model_without_a_scored_row_fails(spark):
+def test_values_without_training_rows(spark):
     rows = spark.range(300).selectExpr("concat('v', id) AS kind", "id * 0.5 AS y")
-    found = sw.evaluate(rows, "y", "regression", only=["Decision Tree"]).first()
-    assert (found["status"], found["n_scored"], found["rmse"]) == ("failed", 0, None)
-    assert found["n_train"] + found["n_test"] == 300
+    found = by(sw.evaluate(rows, "y", "regression"), "model")
+    linear, tree = found["Linear Regression"], found["Decision Tree"]
+    assert (linear["status"], linear["n_scored"], linear["rmse"]) == ("failed", 0, None)
+    assert (tree["status"], tree["n_scored"]) == ("ok", tree["n_test"]) and tree["rmse"] < 90
+    assert linear["n_train"] + linear["n_test"] == 300
 
 
 def test_errors_of_the_cluster_are_raised():
@@ -151,13 +182,13 @@ def test_training_steps_do_not_reach_the_test_rows(learnable, monkeypatch):
     seen = {}
     from scrubwell.operators import evaluate as module
 
-    original = module.fit_features
+    original = module.fit_naive_bayes
 
-    def spy(train, target, task, *rest):
+    def spy(train, *rest):
         seen["sizes"] = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
-        return original(train, target, task, *rest)
+        return original(train, *rest)
 
-    monkeypatch.setattr(module, "fit_features", spy)
+    monkeypatch.setattr(module, "fit_naive_bayes", spy)
     rare = learnable.select("words", "label").filter("label = 'hi' OR hash(words) % 5 = 0")
     plan = sw.CleaningPlan("label").resample("over", train_only=True)
     evaluate(rare, "label", "text_classification", train_steps=plan)

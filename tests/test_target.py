@@ -32,6 +32,44 @@ def test_many_values_are_numbered_alike(spark):
         assert index.attach(with_null, with_null["s"], "i").count() == 560
 
 
+def test_values_whose_digests_collide(spark, monkeypatch):
+    from scrubwell.functions import indexing
+    from pyspark.sql import functions as F
+
+    real = indexing.value_key
+    monkeypatch.setattr(indexing, "value_key", lambda v, wide=False: real(v, True) if wide else F.substring(real(v), 1, 1))
+    df = spark.range(3000).selectExpr("concat('v', id % 700) AS s")
+    for limit in (1000, 10):
+        index = frequency_index(df, "s", small_limit=limit)
+        assert index.wide
+        found = index.attach(df, F.col("s"), "i").distinct().collect()
+        assert sorted(r["i"] for r in found) == list(map(float, range(700)))
+
+
+@pytest.mark.parametrize("limit", [10, 100_000])
+def test_no_value_is_broadcast(spark, limit):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    plan = sw.index_target(docs, "text", small_limit=limit)._jdf.queryExecution().executedPlan().toString()
+    modes = [line for line in plan.splitlines() if "BroadcastExchange HashedRelation" in line]
+    assert modes and all("binary" in m or "input[0, int" in m for m in modes) and not any("string" in m for m in modes)
+
+
+def test_bins_of_like_weight(spark):
+    from pyspark.sql import functions as F
+
+    from scrubwell.functions.indexing import dictionaries
+
+    df = spark.range(4000).selectExpr("CASE WHEN id % 2 = 0 THEN 'hot' ELSE concat('v', id % 500) END AS s", "id % 500 * 1.0D AS y")
+    for limit in (100_000, 10):
+        binned = dictionaries(df, ["s"], F.col("y"), small_limit=limit)["s"].binned(8)
+        rows_of = {r["__bin"]: r["n"] for r in binned.table.groupBy("__bin").agg(F.sum("__n").alias("n")).collect()}
+        assert len(rows_of) <= 8 and sum(rows_of.values()) == 4000 and sorted(rows_of.values())[-2] <= 4000 / 8 + 8  # beside the hot value
+        means = [r["m"] for r in binned.table.groupBy("__bin").agg((F.sum("__sum") / F.sum("__n")).alias("m")).orderBy("__bin").collect()]
+        assert means == sorted(means)
+        found = binned.look_up(df.unionByName(spark.sql("SELECT 'new' AS s, 0D AS y UNION ALL SELECT NULL, 0D")), F.col("s"), {"b": "__bin"})
+        assert found.count() == 4002 and found.filter("b IS NULL").count() == 2
+
+
 def test_non_string_target_is_kept(classes):
     assert sw.index_target(classes, "x") is classes
 
