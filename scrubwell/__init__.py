@@ -17,9 +17,13 @@ from scrubwell.operators.resample import oversample, resample, train_test_split,
 from scrubwell.operators.skew import (
     categorical_entropy, fix_skew, high_skew_columns, numeric_skewness, skewness_report,
 )
+from scrubwell.operators.states import (
+    bounds_of_states, merge_states, merge_values, quantiles_of_states, report_of_states, table_states, value_states,
+)
 from scrubwell.operators.target import index_target, target_correlation
 from scrubwell.operators.text import clean_text_columns
 from scrubwell.operators.timestamps import timestamp_features
+from scrubwell.operators.words import fit_naive_bayes, word_statistics
 from scrubwell.plans.cleaning import Cleaned, CleaningPlan, Step
 from scrubwell.sources.tables import (
     before_after, preview, read_csv, read_table, row_counts, schema_listing, write_csv,

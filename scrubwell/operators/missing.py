@@ -80,8 +80,9 @@ def handle_missing(
     mode: str = "approx",
     error: float = 0.01,
     empty_is_missing: bool = False,
+    medians: dict[str, float] | None = None,
 ) -> DataFrame:
-    """Apply one strategy.
+    """Apply one strategy. ``medians`` that are known already, such as those of stored states, save the pass that finds them.
 
     ``drop`` removes rows with a NULL or NaN; ``mean`` and ``median`` fill numeric columns (whole-number columns get
     the value cut to a whole number, a column without values is left alone); ``zero`` fills numeric columns and
@@ -104,5 +105,7 @@ def handle_missing(
     if strategy == "mean":
         means = aggregate_row(df, [F.avg(as_double(df, c)) for c in numeric])
         return fill_columns(df, {c: v for c, v in zip(numeric, means) if v is not None})
-    medians = quantiles(df, numeric, [0.5], mode=mode, error=error)
-    return fill_columns(df, {c: v[0] for c, v in medians.items() if v is not None})
+    if medians is None:
+        found = quantiles(df, numeric, [0.5], mode=mode, error=error)
+        medians = {c: v[0] for c, v in found.items() if v is not None}
+    return fill_columns(df, {c: medians[c] for c in numeric if c in medians})

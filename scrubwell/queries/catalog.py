@@ -1032,3 +1032,75 @@ def default_median_within_error(spark, sf_dir):
     filled = sw.handle_missing(orders, "median").withColumnRenamed("o_totalprice", "filled")
     value = filled.join(orders.filter("o_totalprice IS NULL"), "o_orderkey").agg(F.max("filled")).first()[0]
     return _within_error(orders.filter("o_totalprice IS NOT NULL"), {("o_totalprice", 0.5): value}, 0.01)
+
+
+# ---- mergeable states --------------------------------------------------------------------------------------------
+
+
+def _stored(spark: SparkSession, frame: DataFrame, label: str) -> DataFrame:
+    path = fresh_path(spark, label)
+    frame.write.partitionBy("part").parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+_PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
+@query("quantiles_from_parts", _all_within(_LINE_NUMBERS, _PROBS))
+def quantiles_from_parts(spark, sf_dir):
+    """Quantiles of eight parts' stored sketches, merged, by the rank of each value among all rows."""
+    lines = table(spark, sf_dir, "lineitem").select(*_LINE_NUMBERS)
+    parts = _stored(spark, sw.table_states(lines, F.pmod(F.xxhash64(*_LINE_NUMBERS), F.lit(8))), "line-states")
+    found = sw.quantiles_of_states(sw.merge_states(parts), _PROBS).collect()
+    return _within_error(lines, {(r["column"], r["p"]): r["value"] for r in found}, 0.005)
+
+
+@query(
+    "report_from_parts",
+    _WIDE
+    + sql.union(
+        [part for part in _REPORT if not any(f"SELECT '{i}'" in part for i in ("outliers", "correlation", "duplicates"))]
+        + [f"SELECT 'rare', 'props', {sql.rare_values('props', 'wide')}::DOUBLE"]
+        + [f"SELECT '{name}', '{c}', {f}({c}::DOUBLE) FROM wide" for c in _WIDE_NUMBERS for name, f in (("low", "min"), ("high", "max"))]
+    ),
+)
+def report_from_parts(spark, sf_dir):
+    """The report on events from the states of three parts, which were stored and merged."""
+    events = sw.timestamp_features(table(spark, sf_dir, "events"))
+    part = F.col("event_id") % 3
+    states = sw.merge_states(_stored(spark, sw.table_states(events, part), "event-states"))
+    values = sw.merge_values(_stored(spark, sw.value_states(events, part=part), "event-values"))
+    parts = sw.report_of_states(states, values, "event_type")
+
+    def lines(name: str, item, value, source: DataFrame) -> DataFrame:
+        return source.select(F.lit(name).alias("issue"), F.col(item).alias("item"), value.cast("double").alias("value"))
+
+    report = lines("missing", "column", F.col("missing_count"), parts["missing"])
+    for more in (
+        lines("skewness", "column", F.coalesce("skewness", "entropy"), parts["skewness"]),
+        lines("high_skew", "column", F.col("skewness"), parts["high_skew"]),
+        lines("rare", "column", F.col("outlier_count"), parts["outliers"].filter("type = 'Categorical'")),
+        lines("low", "column", F.col("min"), parts["box"]),
+        lines("high", "column", F.col("max"), parts["box"]),
+        lines("classes", "class", F.col("n"), parts["classes"]),
+        lines("imbalance", "event_type", F.col("imbalanced").cast("int"), parts["imbalance"].withColumn("event_type", F.lit("event_type"))),
+    ):
+        report = report.unionByName(more)
+    return report
+
+
+_COUNTED = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+
+
+@query(
+    "distinct_from_parts",
+    sql.union(f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS n_values, true AS within FROM orders""" for c in _COUNTED),
+)
+def distinct_from_parts(spark, sf_dir):
+    """Whether the distinct values estimated from four parts' merged sketches are within the stated error of the count."""
+    orders = table(spark, sf_dir, "orders").select(*_COUNTED)
+    parts = _stored(spark, sw.table_states(orders, F.col("o_orderkey") % 4), "order-states")
+    estimates = parts.sparkSession.createDataFrame(sw.merge_states(parts).select("column", F.hll_sketch_estimate("distinct").alias("e")).toArrow())
+    exact = orders.agg(*[F.count_distinct(c).alias(c) for c in _COUNTED]).unpivot([], list(_COUNTED), "column", "n_values")
+    both = exact.join(F.broadcast(estimates), "column")  # a row per column
+    return both.select("column", "n_values", (F.abs(F.col("e") - F.col("n_values")) <= 0.05 * F.col("n_values")).alias("within"))
