@@ -26,5 +26,5 @@ from scrubwell.operators.timestamps import timestamp_features
 from scrubwell.operators.words import fit_naive_bayes, word_statistics
 from scrubwell.plans.cleaning import Cleaned, CleaningPlan, Step
 from scrubwell.sources.tables import (
-    before_after, preview, read_csv, read_table, row_counts, schema_listing, write_csv,
+    CsvScan, before_after, preview, read_csv, read_table, row_counts, scan_csv, schema_listing, write_csv,
 )

@@ -17,6 +17,60 @@ PIECE = 1 << 20
 BROADCAST_KEYS = 2_000_000
 
 
+def canonical_type(kind: T.DataType) -> T.DataType:
+    """The type of ``canonical`` cells: maps become arrays of entries, inside arrays and structs too."""
+    if isinstance(kind, T.MapType):
+        entry = [T.StructField("key", canonical_type(kind.keyType)), T.StructField("value", canonical_type(kind.valueType))]
+        return T.ArrayType(T.StructType(entry))
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(canonical_type(kind.elementType), kind.containsNull)
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, canonical_type(f.dataType), f.nullable) for f in kind.fields])
+    return kind
+
+
+def holds_map(kind: T.DataType) -> bool:
+    return canonical_type(kind) != kind
+
+
+def canonical(value: Column, kind: T.DataType) -> Column:
+    """A cell with its maps as arrays of entries sorted by key, so that equal maps are equal arrays and rows with maps can be
+    grouped, hashed and compared."""
+    if not holds_map(kind):
+        return value
+    if isinstance(kind, T.MapType):
+        entry = lambda e: F.struct(e["key"].alias("key"), canonical(e["value"], kind.valueType).alias("value"))
+        return F.array_sort(F.transform(F.map_entries(value), entry))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda item: canonical(item, kind.elementType))
+    fields = [canonical(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
+    return F.when(value.isNotNull(), F.struct(*fields))
+
+
+def restored(value: Column, kind: T.DataType) -> Column:
+    """What ``canonical`` was made from; ``kind`` is the type with maps."""
+    if not holds_map(kind):
+        return value
+    if isinstance(kind, T.MapType):
+        entry = lambda e: F.struct(e["key"].alias("key"), restored(e["value"], kind.valueType).alias("value"))
+        return F.map_from_entries(F.transform(value, entry))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda item: restored(item, kind.elementType))
+    fields = [restored(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
+    return F.when(value.isNotNull(), F.struct(*fields))
+
+
+def with_canonical_maps(df: DataFrame) -> DataFrame:
+    maps = {f.name: canonical(ref(f.name), f.dataType) for f in df.schema.fields if holds_map(f.dataType)}
+    return df.withColumns(maps) if maps else df
+
+
+def with_restored_maps(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``df`` with the columns that are maps in ``schema`` as maps again."""
+    kinds = {f.name: f.dataType for f in schema.fields if holds_map(f.dataType) and f.name in df.columns}
+    return df.withColumns({c: restored(ref(c), kind) for c, kind in kinds.items()}) if kinds else df
+
+
 def _written(value: Column, kind: T.DataType) -> Column:
     """A cell as text that only equal cells of its type share: length and text, nested cells inside with their own."""
     if isinstance(kind, T.ArrayType):
@@ -25,6 +79,8 @@ def _written(value: Column, kind: T.DataType) -> Column:
     elif isinstance(kind, T.StructType):
         text = F.concat(F.lit("{"), *[_written(value.getField(f.name), f.dataType) for f in kind.fields])
         text = F.when(value.isNotNull(), text)
+    elif isinstance(kind, T.MapType):  # entries by key, whatever order they were put in
+        text = _written(canonical(value, kind), canonical_type(kind))
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
         text = F.when(value == 0, F.abs(value)).otherwise(value).cast("string")  # 0.0 and -0.0 are equal
     elif isinstance(kind, T.TimestampType):

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubwell.functions.columns import ref, require, require_groupable, string_columns
-from scrubwell.functions.rows import repeated_keys, row_hash
+from scrubwell.functions.columns import ref, require, string_columns
+from scrubwell.functions.rows import repeated_keys, row_hash, with_canonical_maps, with_restored_maps
 
 
 def _worth_hashing(df: DataFrame, names: Sequence[str]) -> bool:
@@ -21,18 +21,18 @@ def duplicate_groups(
 ) -> DataFrame:
     """One row per key that occurs more than once, with its number of rows in ``n_rows``.
 
-    The key is ``columns``, or every column but ``target``.
+    The key is ``columns``, or every column but ``target``. Maps are equal if they have equal entries, in whatever order.
     """
     require(df, target, *(columns or ()))
     names = list(columns) if columns else [c for c in df.columns if c != target]
-    require_groupable(df, names)
-    keyed = df.select(*[ref(c) for c in names])
+    keyed = with_canonical_maps(df.select(*[ref(c) for c in names]))
     if _worth_hashing(df, names):
         repeated = repeated_keys(keyed, names)
         if repeated is not None:
             tagged = keyed.withColumn("__key", row_hash(names))
             keyed = tagged.join(F.broadcast(repeated), "__key", "left_semi").drop("__key")
     grouped = keyed.groupBy(*[ref(c) for c in names]).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    grouped = with_restored_maps(grouped, df.schema)
     return grouped.withColumnRenamed("__n", "n_rows") if with_count else grouped.drop("__n")
 
 
@@ -44,8 +44,11 @@ def drop_duplicates(df: DataFrame, target: str | None = None) -> DataFrame:
     """
     require(df, target)
     names = [c for c in df.columns if c != target] + ([target] if target is not None else [])
-    require_groupable(df, names)
-    df = df.select(*[ref(c) for c in names])
+    whole = df.select(*[ref(c) for c in names])
+    return with_restored_maps(_distinct_rows(with_canonical_maps(whole), names), whole.schema)
+
+
+def _distinct_rows(df: DataFrame, names: list[str]) -> DataFrame:
     if not _worth_hashing(df, names):
         return df.dropDuplicates()
     repeated = repeated_keys(df, names)

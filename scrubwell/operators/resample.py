@@ -47,7 +47,7 @@ def undersample(
     shuffled or sorted. ``key`` names columns that identify a row; then the search reads no others.
     """
     require(df, target, *(key or ()))
-    require_groupable(df, df.columns)
+    require_groupable(df, [target])
     columns = [ref(c) for c in df.columns]
     names = list(key) if key else df.columns
     digest = content_digest(df, names, seed)
@@ -103,7 +103,7 @@ def oversample(df: DataFrame, target: str, seed: int = SEED, piece: int = PIECE)
     smaller classes are shuffled once to meet their number of copies, and once to spread the copies.
     """
     require(df, target)
-    require_groupable(df, df.columns)
+    require_groupable(df, [target])
     columns = [ref(c) for c in df.columns]
     digest = content_digest(df, df.columns, seed)
     sizes, n_classes, _, largest = _class_sizes(df, target)

@@ -244,6 +244,25 @@ def duplicate_groups_numeric(spark, sf_dir):
     return sw.duplicate_groups(lines, target="l_discount")
 
 
+_MAPPED = """SELECT event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k, CAST(user_id % 3 AS INTEGER) AS u FROM events"""
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their properties as maps, put together in one order or the other."""
+    frame = table(spark, sf_dir, "events").selectExpr("event_id", "event_type", "from_json(props, 'map<string,int>')['k'] AS k", "int(user_id % 3) AS u")
+    return frame.selectExpr("event_type", "CASE WHEN event_id % 2 = 0 THEN map('k', k, 'u', u) ELSE map('u', u, 'k', k) END AS props")
+
+
+@query("duplicate_groups_maps", f"SELECT event_type, k, u, count(*) AS n_rows FROM ({_MAPPED}) GROUP BY event_type, k, u HAVING count(*) > 1")
+def duplicate_groups_maps(spark, sf_dir):
+    return sw.duplicate_groups(_mapped(spark, sf_dir)).selectExpr("event_type", "props['k'] AS k", "props['u'] AS u", "n_rows")
+
+
+@query("drop_duplicates_maps", f"SELECT DISTINCT event_type, k, u FROM ({_MAPPED})")
+def drop_duplicates_maps(spark, sf_dir):
+    return sw.drop_duplicates(_mapped(spark, sf_dir)).selectExpr("event_type", "props['k'] AS k", "props['u'] AS u")
+
+
 @query("drop_duplicates", "SELECT DISTINCT text, source, lang FROM documents")
 def drop_duplicates(spark, sf_dir):
     return sw.drop_duplicates(table(spark, sf_dir, "documents").select("text", "lang", "source"), "lang")
@@ -434,6 +453,30 @@ def class_imbalance(spark, sf_dir):
     return sw.class_imbalance(table(spark, sf_dir, "documents"), "lang")
 
 
+_BROKEN = "c_custkey % 7 = 0 OR c_custkey % 11 = 0 OR c_custkey % 13 = 0"
+
+
+@query(
+    "csv_malformed",
+    f"""SELECT count(*) FILTER (NOT ({_BROKEN})) AS n_rows, count(*) FILTER ({_BROKEN}) AS n_malformed, 4::BIGINT AS n_files,
+  count(*) FILTER (c_custkey % 13 = 0 AND NOT ({_BROKEN.replace(' OR c_custkey % 13 = 0', '')})) AS n_short,
+  CAST(sum(c_custkey) FILTER (NOT ({_BROKEN})) AS BIGINT) AS keys, round(sum(c_acctbal) FILTER (NOT ({_BROKEN})), 2) AS balance FROM customer""",
+)
+def csv_malformed(spark, sf_dir):
+    """Customers as lines, some with a word for a number, a cell too many or too few, read against the schema."""
+    line = """concat_ws(',', c_custkey, c_name, CASE WHEN c_custkey % 7 = 0 THEN 'many' ELSE string(c_nationkey) END,
+      CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE string(c_acctbal) END, CASE WHEN c_custkey % 11 = 0 THEN 'more' END)"""
+    lines = table(spark, sf_dir, "customer").selectExpr("c_custkey % 4 AS part", f"{line} AS value")
+    path = fresh_path(spark, "broken")
+    lines.repartition(4, "part").write.partitionBy("part").text(path)
+    scan = sw.scan_csv(spark, path, "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double", header=False, recursiveFileLookup=True)
+    counts = scan.counts.agg(F.sum("n_rows").alias("n_rows"), F.sum("n_malformed").alias("n_malformed"), F.count(F.lit(1)).alias("n_files"))
+    short = scan.malformed.agg(F.count_if((F.size(F.split("record", ",")) == 3) & ~F.col("record").contains("many")).alias("n_short"))
+    good = scan.rows.agg(F.sum("c_custkey").alias("keys"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+    one = lambda frame: frame.withColumn("one", F.lit(1))
+    return one(counts).join(one(short), "one").join(one(good), "one").drop("one")
+
+
 # ---- profile and report ------------------------------------------------------------------------------------------
 
 _PROFILED = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}
@@ -561,6 +604,25 @@ def cleaning_plan(spark, sf_dir):
     return plan.apply(gaps(spark, sf_dir))
 
 
+@query(
+    "cleaning_plan_events",
+    f"""WITH doubled AS (SELECT user_id, event_type, CASE WHEN event_id % 50 = 0 THEN value * 100 WHEN event_id % 9 = 0 THEN NULL ELSE value END AS value
+  FROM events UNION ALL SELECT user_id, event_type, CASE WHEN event_id % 50 = 0 THEN value * 100 WHEN event_id % 9 = 0 THEN NULL ELSE value END FROM events WHERE event_id % 4 = 0),
+once AS (SELECT DISTINCT user_id, event_type, coalesce(value, 0) AS value FROM doubled),
+inside AS (SELECT * FROM once WHERE {_bounds('value', 'once')} AND {_bounds('user_id', 'once')})
+SELECT event_type, user_id, CASE WHEN abs((SELECT {sql.skewness('value', 'inside')})) > 1 THEN round(ln(1 + value), 6) ELSE round(value, 6) END AS value,
+  CASE WHEN abs((SELECT {sql.skewness('user_id', 'inside')})) > 1 THEN round(ln(1 + user_id), 6) ELSE user_id END::DOUBLE AS users FROM inside""",
+)
+def cleaning_plan_events(spark, sf_dir):
+    """A plan whose every step changes something: gaps, repeated rows, outliers and skew."""
+    cells = ("user_id", "event_type", "CASE WHEN event_id % 50 = 0 THEN value * 100 WHEN event_id % 9 = 0 THEN NULL ELSE value END AS value")
+    events = table(spark, sf_dir, "events")
+    doubled = events.selectExpr(*cells).unionByName(events.filter("event_id % 4 = 0").selectExpr(*cells))
+    plan = sw.CleaningPlan("event_type").handle_missing("zero").drop_duplicates().remove_outliers(mode="exact").fix_skew("log")
+    cleaned = plan.apply(doubled)
+    return cleaned.select("event_type", F.col("user_id").cast("bigint").alias("user_id"), F.round("value", 6).alias("value"), F.round(F.col("user_id").cast("double"), 6).alias("users"))
+
+
 # ---- resampling and splitting ------------------------------------------------------------------------------------
 
 _DOC_KEYS = ("doc_id", "lang", "source", "n_chars")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubwell.functions.columns import is_string, local_rows, ref, require
+from scrubwell.functions.columns import is_string, local_rows, ref, require, unused_name
 
 
 # What stands for NULL in files written exactly.
@@ -38,6 +39,37 @@ def read_csv(
     return raw.select(*[_unmarked(f).alias(f.name) for f in fields])
 
 
+@dataclass(frozen=True)
+class CsvScan:
+    """``rows`` that fit the schema; ``malformed`` ones as ``(file, record)``; ``counts`` as ``(file, n_rows, n_malformed)``."""
+
+    rows: DataFrame
+    malformed: DataFrame
+    counts: DataFrame
+
+
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str, multiline: bool = False, **options) -> CsvScan:
+    """A CSV file or folder read against a schema, telling apart the rows that do not fit it.
+
+    A row is malformed if it has too few or too many cells, or a cell that its column's type cannot take; an empty cell is
+    NULL and fits. All columns are parsed whatever is selected later, as a row would otherwise be judged by some of its
+    cells. Each part of the result reads the files once when it is used.
+    """
+    declared = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    record = unused_name("__record", [f.name.lower() for f in declared.fields])
+    wanted = T.StructType([*declared.fields, T.StructField(record, T.StringType())])
+    reader = spark.read.options(**_FORM, multiLine=multiline).options(**options)
+    reader = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=record)
+    read = reader.schema(wanted).csv(path).withColumn("__file", F.col("_metadata.file_path"))
+    # Only cells that a query reads are parsed, so each of them is read, though what it holds makes no difference.
+    beside = F.length(F.concat_ws("", *[ref(f.name).cast("string") for f in declared.fields])) >= 0
+    bad = ref(record).isNotNull() & beside
+    counts = read.groupBy(F.col("__file").alias("file")).agg(F.count_if(~bad).alias("n_rows"), F.count_if(bad).alias("n_malformed"))
+    return CsvScan(
+        read.filter(~bad).select(*[ref(f.name) for f in declared.fields]), read.filter(bad).select(F.col("__file").alias("file"), ref(record).alias("record")), counts
+    )
+
+
 def _marked(field: T.StructField) -> Column:
     """A cell as written: a text of backslashes and an N gets one backslash more, so it does not read as NULL."""
     cell = ref(field.name).cast("string")

@@ -47,14 +47,21 @@ def test_negative_zero_and_nan_are_equal(spark):
     assert sw.drop_duplicates(df).count() == 2
 
 
-def test_maps_are_refused(spark):
-    df = spark.sql("SELECT map('a', 1) AS m, 1 AS x")
-    with pytest.raises(ValueError, match="map columns"):
-        sw.drop_duplicates(df)
-
-
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from(["a", "b", "", None]), st.integers(0, 2)), min_size=1, max_size=30))
 def test_any_rows(spark, data):
     df = spark.createDataFrame(data, "s string, n int")
     assert rows(sw.drop_duplicates(df.repartition(3))) == rows(df.distinct())
+
+
+def test_maps_are_equal_in_any_order(spark):
+    df = spark.sql(
+        """SELECT * FROM VALUES (1, map('a', 1, 'b', 2), array(map('x', 0.0D))), (1, map('b', 2, 'a', 1), array(map('x', -0.0D))), (1, map('a', 1), NULL),
+        (1, NULL, NULL), (1, NULL, NULL), (2, map('a', 1, 'b', CAST(NULL AS INT)), array()) AS t(i, m, l)"""
+    ).selectExpr("i", "m", "l", "named_struct('deep', m) AS s")
+    assert sw.drop_duplicates(df).count() == 4 and sw.drop_duplicates(df).schema.simpleString() == df.schema.simpleString()
+    groups = {str(r["m"]): r["n_rows"] for r in sw.duplicate_groups(df).collect()}
+    assert groups in ({"{'a': 1, 'b': 2}": 2, "None": 2}, {"{'b': 2, 'a': 1}": 2, "None": 2})
+    train, test = sw.train_test_split(df)
+    assert train.count() + test.count() == 6 and min(train.filter("m['b'] = 2").count(), test.filter("m['b'] = 2").count()) == 0
+    assert sw.undersample(df, "i").count() == 2 and sw.oversample(df, "i").count() == 10

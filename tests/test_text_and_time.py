@@ -78,3 +78,19 @@ def test_csv(spark, tmp_path):
     assert typed.schema["i"].dataType.simpleString() == "bigint"
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
         sw.write_csv(df, path)
+
+
+def test_malformed_lines_are_told_apart(spark, tmp_path):
+    first, second = tmp_path / "first.csv", tmp_path / "second.csv"
+    first.write_text('a,b,c\n1,x,2.5\nword,x,2.5\n2,"quoted, text",\n3,x\n,,\n')
+    second.write_text("a,b,c\n4,y,1e3\n5,y,1,extra\n6,y,much\n")
+    scan = sw.scan_csv(spark, str(tmp_path), "a int, b string, c double")
+    assert [tuple(r)[:2] for r in scan.rows.orderBy("a").collect()] == [(None, None), (1, "x"), (2, "quoted, text"), (4, "y")]
+    assert {r["record"] for r in scan.malformed.collect()} == {"word,x,2.5", "3,x", "5,y,1,extra", "6,y,much"}
+    counts = {r["file"].rsplit("/", 1)[1]: (r["n_rows"], r["n_malformed"]) for r in scan.counts.collect()}
+    assert counts == {"first.csv": (3, 2), "second.csv": (1, 2)}
+    assert scan.rows.select("b").count() == scan.rows.count() == 4
+    empty = tmp_path / "none.csv"
+    empty.write_text("a,b,c\n")
+    nothing = sw.scan_csv(spark, str(empty), "a int, b string, c double")
+    assert nothing.rows.count() == nothing.malformed.count() == 0
