@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from scrubwell.functions.storage import fresh_path
 from scrubwell.llm import (
     chat, decontamination, embedding_dedup, graphs, line_dedup, minhash, mixing, secret_scan, token_counts, token_files, tokenizer, toxicity,
@@ -336,6 +337,60 @@ def test_rollups_add_up_and_batches_count_once(spark, documents):
     assert state() == [("a", 2, 2)]
 
 
+def test_rows_that_share_an_id_are_all_counted(spark, documents):
+    store = fresh_path(spark, "rollups")
+    count = lambda *rows: token_counts.count_tokens(documents(*rows), "blanks-1")
+    rows = (1, "a b"), (1, "c d e"), (None, "f"), (None, "g h"), (1, "a b"), (3, "x", None), (4, None, "c")
+    token_counts.commit(store, "one", token_counts.changes(count(*rows), "insert"))
+    found = {r.source: (r.documents, r.tokens) for r in token_counts.totals(spark, store).collect()}
+    assert found == {"a": (5, 10), None: (1, 1), "c": (1, 0)}
+    several = token_counts.changes(count((1, "old"), (3, "y y", "b")), "revise", 1).union(token_counts.changes(count((1, "new new"), (1, "and")), "revise", 2))
+    token_counts.commit(store, "two", several.union(token_counts.changes(count((None, "")), "delete", 7)))
+    found = {r.source: (r.documents, r.tokens) for r in token_counts.totals(spark, store).collect()}
+    assert found == {"a": (2, 3), "b": (1, 2), "c": (1, 0)}
+
+
+def test_an_interrupted_batch_is_not_read_and_holds_up_others(spark, documents, monkeypatch):
+    store = fresh_path(spark, "rollups")
+    count = lambda *rows: token_counts.count_tokens(documents(*rows), "blanks-1")
+    state = lambda: [(r.documents, r.tokens) for r in token_counts.totals(spark, store).collect()]
+    token_counts.commit(store, "1", token_counts.changes(count((1, "a b c")), "insert"))
+    revise = token_counts.changes(count((1, "a b"), (8, "more")), "revise")
+    real = token_counts._replace
+
+    def dies(rows, path, *by):
+        if path.endswith("totals"):
+            raise OSError("lost")
+        real(rows, path, *by)
+
+    monkeypatch.setattr(token_counts, "_replace", dies)
+    with pytest.raises(OSError):
+        token_counts.commit(store, "2/x", revise)
+    monkeypatch.setattr(token_counts, "_replace", real)
+    assert state() == [(1, 3)]
+    delete = token_counts.changes(count((1, "")), "delete")
+    with pytest.raises(RuntimeError, match="2/x"):
+        token_counts.commit(store, "3", delete)
+    assert state() == [(1, 3)]
+    token_counts.commit(store, "2/x", revise)
+    token_counts.commit(store, "2/x", revise)
+    assert state() == [(2, 3)]
+    token_counts.commit(store, "3", delete)
+    token_counts.commit(store, "2/x", revise)
+    assert state() == [(1, 1)]
+
+
+def test_a_commit_reads_the_buckets_of_its_ids(spark, documents):
+    store = fresh_path(spark, "rollups")
+    many = token_counts.count_tokens(documents(*[(i, "a b") for i in range(500)]), "blanks-1")
+    token_counts.commit(store, "one", token_counts.changes(many, "insert"))
+    bucket = spark.range(1).select(token_counts._bucket(F.lit(7))).first()[0]
+    read = token_counts._standing(spark, store, {"one"}, [bucket])
+    scan = read._jdf.queryExecution().executedPlan().toString()
+    assert "bucket#" in scan and "PartitionFilters: [" in scan.replace("PartitionFilters: []", "")
+    assert 0 < len(read.inputFiles()) and 0 < read.count() < 60
+
+
 def test_counts_by_a_tokenizer_file(spark, documents):
     counted = {r.doc_id: r.tokens for r in token_counts.count_tokens(documents((1, "Hello, world"), (2, None)), "word_bpe_49k", SPEC).collect()}
     assert counted == {1: 3, 2: 0}
