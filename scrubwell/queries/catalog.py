@@ -473,8 +473,8 @@ def csv_malformed(spark, sf_dir):
     counts = scan.counts.agg(F.sum("n_rows").alias("n_rows"), F.sum("n_malformed").alias("n_malformed"), F.count(F.lit(1)).alias("n_files"))
     short = scan.malformed.agg(F.count_if((F.size(F.split("record", ",")) == 3) & ~F.col("record").contains("many")).alias("n_short"))
     good = scan.rows.agg(F.sum("c_custkey").alias("keys"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
-    one = lambda frame: frame.withColumn("one", F.lit(1))
-    return one(counts).join(one(short), "one").join(one(good), "one").drop("one")
+    lines = counts.unionByName(short, allowMissingColumns=True).unionByName(good, allowMissingColumns=True)
+    return lines.agg(*[F.max(c).alias(c) for c in lines.columns])  # three lines of one figure or more each
 
 
 # ---- profile and report ------------------------------------------------------------------------------------------
