@@ -698,6 +698,19 @@ def oversample(spark, sf_dir):
     return sw.oversample(table(spark, sf_dir, "documents").select(*_DOC_KEYS), "lang")
 
 
+@query(
+    "oversample_documents",
+    f"""WITH d AS (SELECT *, {sql.digest(_WHOLE)} AS h FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h) AS place FROM d), c AS (SELECT lang, count(*) AS n FROM d GROUP BY lang),
+draws AS (SELECT lang, {_DRAW} % n + 1 AS place FROM (SELECT lang, n, unnest(range((SELECT max(n) FROM c) - n)) AS i FROM c))
+SELECT doc_id, text, lang, source, n_chars FROM d
+UNION ALL SELECT r.doc_id, r.text, r.lang, r.source, r.n_chars FROM draws JOIN r ON r.lang = draws.lang AND r.place = draws.place""",
+)
+def oversample_documents(spark, sf_dir):
+    """Whole rows, texts included."""
+    return sw.oversample(table(spark, sf_dir, "documents"), "lang")
+
+
 _COPIES = """WITH d AS (SELECT quality, toxic, {} AS h FROM labels),
 r AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY h) AS place FROM d),
 c AS (SELECT quality, count(*) AS n FROM d GROUP BY quality)
