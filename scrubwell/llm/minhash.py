@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrubwell.llm.batches import ids_and_texts, pieces, row_digest, text_bytes
@@ -30,11 +30,12 @@ from scrubwell.llm.words import split_words
 
 SHINGLE = 5
 SIMILARITY = 0.8
-# 20 bands of 4 registers: a pair of similarity 0.8 shares none with probability 0.00003, one of 0.3 shares one with 0.15.
-BANDS, ROWS = 20, 4
-# Rounds of comparing a bucket's members with its centre before what is left is compared pair by pair.
-STAR_ROUNDS = 2
-# Members of a bucket that meet as many others in one group of that comparison.
+# 24 bands of 8 registers: a pair of similarity 0.8 shares a band with probability 0.988, one of 0.9 with 0.999998, one of
+# 0.5 with 0.09, one of 0.3 with 0.0016.
+BANDS, ROWS = 24, 8
+# Rounds of comparing a bucket's members with a centre before those left are compared by their rarest shingles.
+STAR_ROUNDS = 3
+# Holders of a shingle that meet as many others in one group of that comparison.
 BLOCK = 256
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -158,9 +159,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     """A row per document: ``doc_id``, ``row``, ``class_id`` (the smallest id of its group), ``class_size``, ``kept``.
 
     Shuffled are keys of 24 bytes per band and distinct text, and once the texts that share a band with another. In a
-    bucket, members are first compared with its centre, the one that shares most bands: as many pairs as members.
-    Links so found join most of a large group. What is still apart in a bucket is compared with another centre, then
-    always pair by pair, leaving out pairs that are connected by then, so no link between different texts is lost.
+    bucket, members are first compared with its centre, the one that shares most bands: as many pairs as members. A centre
+    has then met everyone and leaves the bucket; a bucket is done when all that are left in it are connected. After some
+    rounds, what is still apart meets by a prefix filter over its whole texts, which finds every pair that is similar
+    enough, so no link between different texts that share a bucket is lost.
     """
     made = stored(sketch(docs, bands, rows, id_col, text_col), "sketches")
     me = F.struct("doc_id", "row", "serial")
@@ -180,32 +182,35 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     found = source.join(first, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__row") == F.col("row")))
     texts = stored(found.groupBy("digest").agg(F.first("text").alias("text")), "texts")
 
-    links, seen, used, state = None, None, None, members.withColumn("component", F.col("digest"))
+    links, seen, state = None, None, members.withColumn("component", F.col("digest"))
     for number in range(STAR_ROUNDS + 1):
         if number < STAR_ROUNDS:
-            centres = stored(_centres(state, used), "centres")
+            centres = stored(_centres(state), "centres")
             pairs = _star_pairs(state, centres, similarity)
-            own = centres.select("key", "centre.digest")
-            used = own if used is None else used.union(own)
         else:
-            pairs = _all_pairs(state, similarity)
+            pairs = _prefix_pairs(stored(_prefixes(state, texts, similarity), "prefixes"), similarity)
         if seen is not None:
             either = (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high"))
             pairs = pairs.join(seen, either, "left_anti")
         pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            continue  # other centres, and what never met a centre, may still have pairs
-        done = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
-        seen = done if seen is None else seen.union(done)
-        new = stored(_verified(pairs, texts, similarity), "links")
-        links = new if links is None else links.union(new)
+        if not pairs.isEmpty():
+            done = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+            seen = done if seen is None else seen.union(done)
+            new = stored(_verified(pairs, texts, similarity), "links")
+            links = new if links is None else links.union(new)
         if number == STAR_ROUNDS:
             break
-        labels = components(links, "a", "b")
-        joined = members.join(labels.withColumnRenamed("node", "digest"), "digest", "left")
-        labelled = stored(joined.withColumn("component", F.coalesce("component", "digest")), "members")
-        apart = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-        state = labelled.join(stored(apart.select("key"), "buckets"), "key")
+        left = state.drop("component").join(centres.select("key", "centre.digest"), ["key", "digest"], "left_anti")
+        if links is not None:
+            left = left.join(stored(components(links, "a", "b"), "labels").withColumnRenamed("node", "digest"), "digest", "left")
+            left = left.withColumn("component", F.coalesce("component", "digest"))
+        else:
+            left = left.withColumn("component", F.col("digest"))
+        left = stored(left, "members")
+        apart = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+        state = stored(left.join(apart.select("key"), "key"), "apart")
+        if state.isEmpty():
+            break
     if links is None:
         roots = classes.withColumn("root", F.col("digest"))
     else:
@@ -221,10 +226,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     )
 
 
-def _centres(state: DataFrame, used: DataFrame | None) -> DataFrame:
-    """The member of highest degree of each bucket that has not been its centre yet."""
-    free = state if used is None else state.join(used, ["key", "digest"], "left_anti")
-    return free.groupBy("key").agg(F.max(F.struct("degree", "digest", "n", "component")).alias("centre"))
+def _centres(state: DataFrame) -> DataFrame:
+    """The member of highest degree of each bucket."""
+    return state.groupBy("key").agg(F.max(F.struct("degree", "digest", "n", "component")).alias("centre"))
 
 
 def _star_pairs(state: DataFrame, centres: DataFrame, similarity: float) -> DataFrame:
@@ -234,31 +238,66 @@ def _star_pairs(state: DataFrame, centres: DataFrame, similarity: float) -> Data
     return fit.select(F.col("digest").alias("a"), F.col("centre.digest").alias("b")).distinct()
 
 
-def _all_pairs(state: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of a bucket that are not connected yet.
+def _prefixes(state: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The rarest shingles of each distinct text of ``state`` that another of them holds: ``key``, ``digest``, ``n``,
+    ``component``, its place ``at`` in the text's order, and whether it is among the ``short`` prefix.
 
-    One of a pair is outside the largest component of the bucket. Those outside, and all members, are dealt into blocks, and
-    each two blocks meet on their own, so that a large bucket is the work of many tasks.
+    Shingles are ordered by the number of these texts that hold them, then by hash. Two texts of the similarity share one of
+    their first ``n - ceil(s n) + 1`` shingles, and that one is among the first ``n - ceil(2 s n / (1 + s)) + 1`` of the text
+    with fewer.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in pieces(batches, 64):
+            own = [np.unique(shingle_hashes(split_words(t), hashes)).view(np.int64) for t in text_bytes(batch)]
+            for digest, values in zip(batch.column("digest").to_pylist(), own, strict=True):
+                for start in range(0, len(values), 100_000):
+                    part = pa.array(values[start : start + 100_000])
+                    yield pa.RecordBatch.from_arrays([pa.array([digest] * len(part), pa.binary()), part], names=["digest", "key"])
+
+    left = stored(state.select("digest", "n", "component").distinct(), "left")
+    shingles = stored(texts.join(left.select("digest"), "digest").select("digest", "text").mapInArrow(run, "digest binary, key bigint"), "shingles")
+    held = shingles.groupBy("key").agg(F.count(F.lit(1)).alias("holders"))
+    counted = shingles.join(stored(held.filter("holders > 1"), "shared"), "key").join(left, "digest")
+    # Shingles that no other text holds come first; they never meet, so they are only counted.
+    own = counted.groupBy("digest").agg(F.count(F.lit(1)).alias("common"))
+    at = F.row_number().over(Window.partitionBy("digest").orderBy("holders", "key")) + F.col("n") - F.col("common")
+    length = lambda share: F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1
+    placed = counted.join(own, "digest").withColumn("at", at).filter(F.col("at") <= length(F.lit(similarity)))
+    short = F.col("at") <= length(F.lit(2 * similarity / (1 + similarity)))
+    return placed.select("key", "digest", "n", "component", "at", short.alias("short"))
+
+
+def _prefix_pairs(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs that share a shingle of their prefixes, are not connected yet and can still be similar enough.
+
+    Of a pair, the text with fewer shingles (of equal ones either) has the shared shingle in its short prefix, and one is
+    outside the largest component of the shingle's holders. Those outside, and all holders, are dealt into blocks, and each
+    two blocks meet on their own, so that a frequent shingle is the work of many tasks.
     """
-    sizes = state.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("members", "component")).alias("top"), F.sum("members").alias("size"))
+    sizes = prefixes.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"), F.max("short").alias("short"))
+    largest = sizes.groupBy("key").agg(
+        F.max(F.struct("members", "component")).alias("top"), F.sum("members").alias("size"), F.max("short").alias("short")
+    )
     blocks = lambda size: F.ceil(size / F.lit(BLOCK)).cast("int")
-    largest = largest.select(
+    largest = largest.filter("short").select(
         "key", F.col("top.component").alias("top"), blocks(F.col("size") - F.col("top.members")).alias("lefts"), blocks(F.col("size")).alias("rights")
     ).filter("lefts > 0")
-    dealt = state.join(stored(largest, "largest"), "key").withColumn("hash", F.xxhash64("digest"))
+    dealt = prefixes.join(stored(largest, "largest"), "key").withColumn("hash", F.xxhash64("digest"))
     place = lambda number: F.pmod("hash", number).cast("int")
     numbers = lambda number: F.explode(F.sequence(F.lit(0), F.col(number) - 1))
-    left = dealt.filter("component <> top").select(
-        "key", F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), place("lefts").alias("x"), numbers("rights").alias("y")
-    )
-    right = dealt.select(
-        "key", F.col("digest").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), (F.col("component") == F.col("top")).alias("inside"),
-        numbers("lefts").alias("x"), place("rights").alias("y"),
-    )
+    side = lambda s: [F.col(old).alias(f"{new}{s}") for old, new in (("digest", ""), ("n", "n_"), ("component", "c_"), ("at", "at_"), ("short", "short_"))]
+    left = dealt.filter("component <> top").select("key", *side("a"), place("lefts").alias("x"), numbers("rights").alias("y"))
+    inside = (F.col("component") == F.col("top")).alias("inside")
+    right = dealt.select("key", *side("b"), inside, numbers("lefts").alias("x"), place("rights").alias("y"))
     once = F.col("inside") | (F.col("a") < F.col("b"))
-    joined = left.join(right, ["key", "x", "y"]).filter((F.col("c_a") != F.col("c_b")) & once).filter(_near_enough("n_a", "n_b", similarity))
-    return joined.select("a", "b").distinct()
+    fewer = (F.col("short_a") & F.expr("n_a <= n_b")) | (F.col("short_b") & F.expr("n_b <= n_a"))
+    # Before the first shared shingle there is none, behind it as many as the shorter rest.
+    most = 1 + F.least(F.expr("n_a - at_a"), F.expr("n_b - at_b"))
+    enough = most >= similarity / (1 + similarity) * F.expr("n_a + n_b") - 1e-9
+    joined = left.join(right, ["key", "x", "y"]).filter((F.col("c_a") != F.col("c_b")) & once & fewer & enough)
+    return joined.filter(_near_enough("n_a", "n_b", similarity)).select("a", "b").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
