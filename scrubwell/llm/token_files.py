@@ -79,7 +79,7 @@ def write_tokens(
     end = np.array([end_id], dtype="<u4")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_text = encoder(sent.value).encode
+        encode_all = encoder(sent.value).encode_all
         shard = TaskContext.get().partitionId()
         block, first, n, parts, doc_ids, lengths = 0, 0, 0, [], [], []
 
@@ -89,8 +89,7 @@ def write_tokens(
             return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(values, _BLOCKS, strict=True)], schema=_BLOCKS)
 
         for batch in pieces(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                ids = encode_text(text)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode_all(texts(batch)), strict=True):
                 parts += [ids, end]
                 doc_ids.append(doc_id)
                 lengths.append(len(ids) + 1)

@@ -5,9 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import sys
-from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -18,26 +18,70 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 # Letters, then punctuation that starts neither a contraction nor a special token.
 _MARKS = "!\"#$%&()*+,-./:;=?@[]^_`{}~"
 _PLAIN = re.compile(rf"([{_LETTERS}]+)([{re.escape(_MARKS)}]*)")
+# The same pattern on printable ASCII without apostrophes, in lower case.
+_ASCII = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
+# Characters of texts that are encoded together, unless one text has more.
+TOGETHER = 1 << 20
 
 
-class _Memory(dict):
-    """Values by key, made when first asked for. At half of ``limit`` entries they become the old generation, from which
-    those that are asked for again return; so rare words never pile up and frequent ones stay."""
+class _Numbers(dict):
+    """A number per key, given when it is first asked for; ``new`` collects those. ``old`` holds the generation before, from
+    which keys that are asked for again return."""
 
-    def __init__(self, make, limit: int):
+    def __init__(self, old: dict[str, int]):
         super().__init__()
-        self.make, self.limit, self.old = make, limit // 2, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.pop(key, None)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= 64:
-            if len(self) >= self.limit:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
+        self.old, self.new, self.next = old, [], len(old)
+
+    def __missing__(self, key: str) -> int:
+        number = self.old.get(key)
+        if number is None:
+            number = self.next
+            self.next += 1
+            self.new.append(key)
+        self[key] = number
+        return number
+
+
+class _Memory:
+    """Ids by key, all in one array. At half of ``limit`` keys they become the old generation, and those of the one before
+    that nobody asked for are dropped; so rare words never pile up and frequent ones stay."""
+
+    def __init__(self, limit: int):
+        self.limit = limit // 2
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers, self.chars = _Numbers({}), 0
+        self.flat, self.starts, self.lengths = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def of(self, keys: Iterable[str], n: int, make) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``n`` keys one behind the other, and how many there are up to each; ``make`` gives ids and lengths of
+        keys that are new."""
+        numbers = np.fromiter(map(self.numbers.__getitem__, keys), np.int64, n)
+        if new := self.numbers.new:
+            self.numbers.new = []
+            ids, lengths = make(new)
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.flat, self.lengths = np.concatenate([self.flat, ids]), np.concatenate([self.lengths, lengths])
+            self.chars += sum(map(len, new))
+        found = self._gather(numbers)
+        if self.chars > 64 * self.limit:  # keys of unusual length, which need not stay
+            self._forget()
+        elif len(self.numbers) >= self.limit:
+            kept = list(self.numbers)
+            own = np.fromiter(self.numbers.values(), np.int64, len(kept))
+            lengths = self.lengths[own]
+            self.flat, ends = self._gather(own)
+            self.starts, self.lengths, self.chars = ends - lengths, lengths, sum(map(len, kept))
+            self.numbers = _Numbers(dict(zip(kept, range(len(kept)), strict=True)))
+        return found
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lengths = self.lengths[numbers]
+        ends = np.cumsum(lengths)
+        place = np.repeat(self.starts[numbers] - ends + lengths, lengths)
+        place += np.arange(len(place))
+        return self.flat[place], ends
 
 
 class WholeTexts:
@@ -49,45 +93,78 @@ class WholeTexts:
     def encode(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        return map(self.encode, texts)
+
 
 class SpacelessWords(WholeTexts):
-    """Encodes a text as its pieces between blanks, each distinct piece once.
+    """Encodes texts as their pieces between blanks, each distinct piece once.
 
-    White space yields no token and no merge crosses it, so the ids of a text are those of its pieces in order. A
-    piece of Latin letters with trailing punctuation goes straight to the merges of its lower-cased letters; all
-    others go through the whole tokenizer.
+    White space yields no token and no merge crosses it, so the ids of a text are those of its pieces in order. Pieces are
+    numbered; those that are new in a group of texts go to the merges as one list of words if they are plain (ASCII, or Latin
+    letters with trailing punctuation), and through the whole tokenizer if not. Ids are gathered by numpy from one array.
     """
 
     def __init__(self, tokenizer, limit: int):
         super().__init__(tokenizer)
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         lower = [c for c in map(chr, range(0xDF, 0x100)) if c != "÷"]
         self.spelled = {ord(c): level.pre_tokenize_str(c)[0][0] for c in lower}
-        self.merged = _Memory(self._merge, limit)
-        self.pieces = _Memory(self._piece, limit)
-
-    def _merge(self, word: str) -> bytes:
-        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(word)])
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        letters = piece.rstrip(_MARKS)
-        if letters.isascii() and letters.isalpha():
-            ids = self.merged[letters.lower()]
-            return ids + self.merged[piece[len(letters) :]] if len(letters) < len(piece) else ids
+        self.bare = Tokenizer(tokenizer.model)  # merges alone, of words between blanks
+        self.bare.pre_tokenizer = WhitespaceSplit()
+        self.pieces, self.words = _Memory(limit), _Memory(limit)
+
+    def _words(self, piece: str) -> list[str] | None:
+        """What goes to the merges for a piece; None if only the whole tokenizer knows."""
+        if piece.isascii():
+            return _ASCII.findall(piece.lower()) if piece.isprintable() and "'" not in piece and "<" not in piece else None
         if plain := _PLAIN.fullmatch(piece):
             letters, marks = plain.groups()
-            ids = self.merged[letters.lower().translate(self.spelled)]
-            return ids + self.merged[marks] if marks else ids
-        return super().encode(piece).tobytes()
+            return [letters.lower().translate(self.spelled), marks] if marks else [letters.lower().translate(self.spelled)]
+        return None
+
+    def _merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        made = self.bare.encode(" ".join(words), add_special_tokens=False)
+        return np.array(made.ids, dtype="<u4"), np.bincount(np.array(made.word_ids, dtype=np.int64), minlength=len(words))
+
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        words = [self._words(p) for p in pieces]
+        known = list(chain.from_iterable(w for w in words if w))
+        ids, ends = self.words.of(known, len(known), self._merge)
+        last = np.cumsum([len(w) if w else 0 for w in words])
+        lengths = np.diff(np.concatenate([[0], ends])[last], prepend=0)
+        odd = np.array([w is None for w in words], dtype=bool)
+        if odd.any():
+            made = [self.tokenizer.encode(p, add_special_tokens=False).ids for p, w in zip(pieces, words, strict=True) if w is None]
+            lengths[odd] = [len(m) for m in made]
+            whole = np.repeat(odd, lengths)
+            both = np.empty(len(whole), dtype="<u4")
+            both[whole], both[~whole] = list(chain.from_iterable(made)), ids
+            ids = both
+        return ids, lengths
+
+    def _together(self, texts: list[str]) -> list[np.ndarray]:
+        split = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
+        counts = [len(p) for p in split]
+        ids, ends = self.pieces.of(chain.from_iterable(split), sum(counts), self._learn)
+        return np.split(ids, ends[np.cumsum(counts) - 1][:-1])
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        group, chars = [], 0
+        for text in texts:
+            group.append(text)
+            chars += len(text)
+            if chars >= TOGETHER:
+                yield from self._together(group)
+                group, chars = [], 0
+        if group:
+            yield from self._together(group)
 
     def encode(self, text: str) -> np.ndarray:
-        ids = map(self.pieces.__getitem__, text.replace("\n", " ").split(" "))
-        return np.frombuffer(b"".join(ids), dtype="<u4")
+        return self._together([text])[0]
 
 
 def read_spec(path: str) -> str:
