@@ -108,6 +108,16 @@ def test_op10_groups_as_all_pairs_do(spark, docs):
     assert all(r.class_size == sizes[r.class_id] and r.kept == (r.doc_id == r.class_id) for r in found)
 
 
+def test_op10_finds_nearly_all_groups_of_a_larger_table(spark, connection):
+    sf = "/root/testdata/sf0.01"
+    wanted = near_groups(dict(connection.execute(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall()))
+    found = {r.doc_id: r.class_id for r in QUERIES["op10_minhash_dedup"](spark, sf).collect()}
+    assert found.keys() == wanted.keys()
+    assert all(wanted[i] == wanted[c] for i, c in found.items())  # never more than all pairs link
+    copies = [i for i, c in wanted.items() if c != i]
+    assert sum(found[i] == wanted[i] for i in copies) >= 0.95 * len(copies) > 0
+
+
 def test_op9_equals_the_diff_of_every_pair(spark, docs):
     from scrubwell.llm.line_dedup import common_blocks
 
