@@ -501,3 +501,16 @@ def test_members_unlike_the_centre_are_linked(spark, documents, monkeypatch, blo
     found = {r.doc_id: (r.class_id, r.class_size) for r in minhash.near_duplicates(documents(*rows, *longer)).collect()}
     wanted = {i: (10 * (i // 10), 3) if i < 100 else (i, 1) for i, _ in [*rows, *longer]}
     assert found == wanted
+
+
+def test_prefix_filter_is_exact_and_leaves_out_half_alike_texts(spark, documents):
+    common = [f"c{j}" for j in range(100)]
+    half = [(i, " ".join([*common, *[f"o{i}x{j}" for j in range(60)]])) for i in range(600)]  # similarity below 0.5
+    alike = [(1000 + i, " ".join([*[f"p{j}" for j in range(100)], f"e{i}"])) for i in range(5)]  # 0.97 or more
+    made = minhash.sketch(documents(*half, *alike)).select("doc_id", "digest", "n")
+    texts = made.join(documents(*half, *alike).select("doc_id", "text"), "doc_id").select("digest", "text")
+    state = made.withColumn("component", minhash.F.col("digest"))
+    pairs = minhash._prefix_pairs(minhash._prefixes(state, texts, 0.8), 0.8)
+    ids = {bytes(r.digest): r.doc_id for r in made.collect()}
+    found = {tuple(sorted((ids[bytes(r.a)], ids[bytes(r.b)]))) for r in pairs.collect()}
+    assert found == {(1000 + i, 1000 + j) for i in range(5) for j in range(i + 1, 5)}
