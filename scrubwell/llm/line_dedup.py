@@ -9,8 +9,8 @@ from that to the short line is a seed of its own, so that a block of two later d
 it, even if other documents held its long lines before. Per pair the rarest of the shared lines is noted. Both documents'
 lines are aligned by patience diff: lines that occur once in either, in the longest order that both share, divide the texts;
 between them it goes on, and ends of equal lines are matched. An aligned run of lines is a block; blocks with a line of
-``min_chars`` or more are deleted from the later document. An alignment has one order and takes a line once: blocks that
-stand in another order, or more often, in the later document are found by their lines and deleted too. So a document loses
+``min_chars`` or more are deleted from the later document. An alignment has one order and takes a line once, so what it
+leaves is aligned again: blocks that stand in another order, or more often, in the later document go too. So a document loses
 what a comparison with every earlier document would delete. The first document to hold a line keeps it, whatever is deleted
 elsewhere.
 
@@ -80,41 +80,68 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _common_runs(a: list[int], b: list[int], long_in_b: list[bool]) -> set[int]:
-    """Places in ``b`` of long lines that ``a`` holds, and of short lines that follow one in ``a`` by the same lines as in ``b``."""
-    long_lines = {x for x, long in zip(b, long_in_b, strict=True) if long}
-    steps: dict[tuple[int, int], int] = {}  # a tree of the runs in a that begin with a long line, as (run before, line)
+def _windows(a: list[int], b: list[int], seeds: set[int]) -> Iterator[tuple[int, int, int]]:
+    """For each seed line in ``b``: where ``a`` has it with most of the lines that follow up to the next seed, as place in
+    ``a``, place in ``b`` and number of lines."""
+    steps: dict[tuple[int, int], tuple[int, int]] = {}  # a tree of the runs in a from each seed: (run before, line) to run, place
     run = -1
-    for x in a:
-        if x in long_lines:
-            run = steps.setdefault((-1, x), len(steps))
+    for i, x in enumerate(a):
+        if x in seeds:
+            run = steps.setdefault((-1, x), (len(steps), i))[0]
         elif run >= 0:
-            run = steps.setdefault((run, x), len(steps))
-    out = set()
-    run = -1
-    for j, (x, long) in enumerate(zip(b, long_in_b, strict=True)):
-        run = steps.get((-1, x), -1) if long else steps.get((run, x), -1) if run >= 0 else -1
-        if run >= 0:
-            out.add(j)
-    return out
-
-
-def common_blocks(a: list[int], b: list[int], long_in_b: list[bool]) -> list[int]:
-    """Places in ``b`` of blocks that hold a long line: those aligned, then those that cross them or repeat what is aligned."""
-    out: list[int] = []
+            run = steps.setdefault((run, x), (len(steps), i))[0]
+    j = 0
+    while j < len(b):
+        n = 1
+        if b[j] in seeds:
+            step = steps[-1, b[j]]
+            while j + n < len(b) and b[j + n] not in seeds and (longer := steps.get((step[0], b[j + n]))):
+                step, n = longer, n + 1
+            yield step[1] - n + 1, j, n
+        j += n
+
+
+def _aligned(a: list[int], b: list[int], places: list[int], long_in_b: list[bool]) -> set[int]:
+    """Places in ``b`` of the blocks with a long line when ``a`` is aligned with the lines of ``b`` at ``places``."""
+    out: set[int] = set()
     block: list[int] = []
-    has_long, before = False, None
-    for i, j in [*patience(a, b), (-1, -1)]:
+    before = None
+    for i, k in [*patience(a, [b[j] for j in places]), (-1, -1)]:
+        j = places[k] if k >= 0 else -2
         if before is None or (i, j) != (before[0] + 1, before[1] + 1):
-            out += block if has_long else []
-            block, has_long = [], False
+            out.update(block if any(long_in_b[x] for x in block) else ())
+            block = []
         block.append(j)
-        has_long = has_long or (j >= 0 and long_in_b[j])
         before = (i, j)
-    if len(out) == len(b):
-        return out
-    forward, backward = _common_runs(a, b, long_in_b), _common_runs(a[::-1], b[::-1], long_in_b[::-1])
-    return sorted({*out, *forward, *(len(b) - 1 - j for j in backward)})
+    return out
+
+
+def common_blocks(a: list[int], b: list[int], long_in_b: list[bool]) -> list[int]:
+    """Places in ``b`` of aligned blocks that hold a long line.
+
+    An alignment has one order and takes a line of ``a`` once, so it is peeled: what is left of ``b`` is aligned again, as long
+    as that takes half of its lines of ``min_chars`` that ``a`` holds. Blocks that still cross or repeat each other are then
+    aligned one by one, each with the stretch of ``a`` that shares most lines with it, forwards and backwards.
+    """
+    held = set(a)
+    seeds = {x for x, long in zip(b, long_in_b, strict=True) if long and x in held}
+    out: set[int] = set()
+    left, n_seeds = [j for j, x in enumerate(b) if x in held], 2 * len(b)
+    while (now := sum(b[j] in seeds for j in left)) and 2 * now <= n_seeds:
+        out |= _aligned(a, b, left, long_in_b)
+        left, n_seeds = [j for j in left if j not in out], now
+    if not left:
+        return sorted(out)
+    last = len(b) - 1
+    for back in (False, True):
+        turned = slice(None, None, -1 if back else 1)
+        own, earlier, long = b[turned], a[turned], long_in_b[turned]
+        for i, j, n in _windows(earlier, own, seeds):
+            places = range(j, j + n)
+            if any((last - k if back else k) not in out for k in places):
+                found = _aligned(earlier[i : i + n], own[j : j + n], list(range(n)), long[j : j + n])
+                out |= {last - j - k if back else j + k for k in found}
+    return sorted(out)
 
 
 def _runs(lines: list[int], long: list[bool]) -> set[int]:
