@@ -81,6 +81,8 @@ def format_chats(turns: DataFrame, trained: str = "assistant", conv_col: str = "
             ),
         )
     )
+    measured = blocks.select("conv_id", formatted.alias("formatted"), pieces.alias("pieces"))
+    # Ends are running sums. A fold copies what it has gathered at every step, so stretches are folded, then their totals.
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
     def place(state: Column, piece: Column) -> Column:
@@ -89,7 +91,21 @@ def format_chats(turns: DataFrame, trained: str = "assistant", conv_col: str = "
         span = F.array(F.struct(start.alias("start"), end.alias("end")))
         return F.struct((end + piece["after"]).alias("at"), F.when(piece["loss"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    return blocks.select("conv_id", formatted.alias("formatted"), F.aggregate(pieces, empty, place)["spans"].alias("loss_spans"))
+    folded = measured.select("conv_id", "formatted", F.transform(_stretches("pieces"), lambda s: F.aggregate(s, empty, place)).alias("folded"))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    add = lambda state, s: F.struct((state["at"] + s["at"]).alias("at"), F.concat(state["starts"], F.array(state["at"])).alias("starts"))
+    begun = folded.select("*", F.aggregate("folded", none, add)["starts"].alias("starts"))
+    moved = lambda z: F.transform(
+        z["folded"]["spans"], lambda s: F.struct((s["start"] + z["starts"]).alias("start"), (s["end"] + z["starts"]).alias("end"))
+    )
+    return begun.select("conv_id", "formatted", F.flatten(F.transform(F.arrays_zip("folded", "starts"), moved)).alias("loss_spans"))
+
+
+def _stretches(array: str) -> Column:
+    """An array cut into stretches, about as many as each has elements."""
+    n = F.ceil(F.sqrt(F.size(array))).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size(array) / n).cast("int") - 1), lambda k: F.slice(array, k * n + 1, n))
+    return F.when(F.size(array) > 0, cut).otherwise(F.slice(F.array(F.col(array)), 1, 0))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -105,7 +121,16 @@ def read_back(formatted: DataFrame) -> DataFrame:
             lambda t: F.struct(unescape(role.substr(F.lit(len(HEAD) + 1), F.length(role)), _ROLE_CODES).alias("role"), unescape(t).alias("text")),
         )
 
-    masked = F.transform("loss_spans", lambda s: unescape(F.col("formatted").substr(s["start"] + 1, s["end"] - s["start"])))
+    # Finding a place walks the text from its begin, so stretches are cut out first and the spans from those.
+    cut = F.transform(
+        _stretches("loss_spans"),
+        lambda s: F.struct(
+            s.alias("spans"), F.get(s, F.lit(0))["start"].alias("at"),
+            F.col("formatted").substr(F.get(s, F.lit(0))["start"] + 1, F.element_at(s, -1)["end"] - F.get(s, F.lit(0))["start"]).alias("text"),
+        ),
+    )
+    texts = lambda c: F.transform(c["spans"], lambda s: unescape(c["text"].substr(s["start"] - c["at"] + 1, s["end"] - s["start"])))
+    masked = F.flatten(F.transform(cut, texts))
     return formatted.select("conv_id", F.flatten(F.transform(blocks, turns_of)).alias("turns"), masked.alias("loss_texts"), "formatted")
 
 
