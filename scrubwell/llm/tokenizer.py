@@ -14,12 +14,12 @@ import numpy as np
 
 # Fixed values of the format: a pre-tokenizer that drops white space and never joins characters across it.
 _SPACELESS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-# Letters, then punctuation that starts neither a contraction nor a special token.
-_MARKS = "!\"#$%&()*+,-./:;=?@[]^_`{}~"
-_PLAIN = re.compile(rf"([{_LETTERS}]+)([{re.escape(_MARKS)}]*)")
-# The same pattern on printable ASCII without apostrophes, in lower case.
-_ASCII = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
+# Small letters of Latin-1, and the characters for which the patterns below do what the tokenizer does: white space that both
+# know, printable ASCII and Latin-1 letters, which composition leaves alone and which have one small letter each.
+_SMALL = "a-zß-öø-ÿ"
+_ODD = re.compile("[^\\t\\n\\r -~À-ÖØ-öø-ÿ]")
+# The pattern above on lower-cased text of those characters; what is most frequent is tried first.
+_WORD = re.compile(f"[{_SMALL}]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\\s{_SMALL}0-9]+")
 # Characters of texts that are encoded together, unless one text has more.
 TOGETHER = 1 << 20
 
@@ -98,59 +98,73 @@ class WholeTexts:
 
 
 class SpacelessWords(WholeTexts):
-    """Encodes texts as their pieces between blanks, each distinct piece once.
+    """Encodes texts word by word, each distinct word once.
 
-    White space yields no token and no merge crosses it, so the ids of a text are those of its pieces in order. Pieces are
-    numbered; those that are new in a group of texts go to the merges as one list of words if they are plain (ASCII, or Latin
-    letters with trailing punctuation), and through the whole tokenizer if not. Ids are gathered by numpy from one array.
+    White space yields no token and no merge crosses the pre-tokenizer's words, so the ids of a text are those of its words
+    in order. Stretches of common characters are split here; pieces between blanks with any other character, or with a special
+    token, go through the whole tokenizer. Words are numbered; those that are new in a group of texts go to the merges in one
+    call. Ids are gathered by numpy from one array.
     """
 
-    def __init__(self, tokenizer, limit: int):
+    def __init__(self, tokenizer, limit: int, special: Iterable[str], suffix: str | None):
         super().__init__(tokenizer)
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-        level = ByteLevel(add_prefix_space=False, use_regex=False)
-        lower = [c for c in map(chr, range(0xDF, 0x100)) if c != "÷"]
-        self.spelled = {ord(c): level.pre_tokenize_str(c)[0][0] for c in lower}
         self.bare = Tokenizer(tokenizer.model)  # merges alone, of words between blanks
-        self.bare.pre_tokenizer = WhitespaceSplit()
-        self.pieces, self.words = _Memory(limit), _Memory(limit)
-
-    def _words(self, piece: str) -> list[str] | None:
-        """What goes to the merges for a piece; None if only the whole tokenizer knows."""
-        if piece.isascii():
-            return _ASCII.findall(piece.lower()) if piece.isprintable() and "'" not in piece and "<" not in piece else None
-        if plain := _PLAIN.fullmatch(piece):
-            letters, marks = plain.groups()
-            return [letters.lower().translate(self.spelled), marks] if marks else [letters.lower().translate(self.spelled)]
-        return None
+        self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        # The ids that end a word, if the vocabulary marks them; what a word consists of cannot look like the mark.
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.special = sorted(special)
+        self.other = re.compile("|".join([_ODD.pattern, *map(re.escape, self.special)]))
+        self.words = _Memory(limit)
+
+    def _split(self, text: str) -> list[str]:
+        """The words of a text, lower-cased; pieces that only the whole tokenizer knows, as they are after a blank."""
+        if not _ODD.search(text) and not any(s in text for s in self.special):
+            return _WORD.findall(text.lower())
+        text, out, done = text.replace("\n", " "), [], 0
+        for found in self.other.finditer(text):
+            if found.start() < done:
+                continue  # in a piece that has gone already
+            start = max(text.rfind(" ", done, found.start()) + 1, done)
+            end = text.find(" ", found.end())
+            end = len(text) if end < 0 else end
+            out += _WORD.findall(text[done:start].lower())
+            out.append(" " + text[start:end])
+            done = end
+        out += _WORD.findall(text[done:].lower())
+        return out
 
     def _merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        made = self.bare.encode(" ".join(words), add_special_tokens=False)
+        joined = " ".join(words)
+        ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) == len(words) and (not len(ids) or ends[-1] == len(ids)):
+            return ids, np.diff(ends, prepend=0)
+        made = self.bare.encode(joined, add_special_tokens=False)  # some word does not end with an id of its own
         return np.array(made.ids, dtype="<u4"), np.bincount(np.array(made.word_ids, dtype=np.int64), minlength=len(words))
 
-    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        words = [self._words(p) for p in pieces]
-        known = list(chain.from_iterable(w for w in words if w))
-        ids, ends = self.words.of(known, len(known), self._merge)
-        last = np.cumsum([len(w) if w else 0 for w in words])
-        lengths = np.diff(np.concatenate([[0], ends])[last], prepend=0)
-        odd = np.array([w is None for w in words], dtype=bool)
-        if odd.any():
-            made = [self.tokenizer.encode(p, add_special_tokens=False).ids for p, w in zip(pieces, words, strict=True) if w is None]
-            lengths[odd] = [len(m) for m in made]
-            whole = np.repeat(odd, lengths)
-            both = np.empty(len(whole), dtype="<u4")
-            both[whole], both[~whole] = list(chain.from_iterable(made)), ids
-            ids = both
-        return ids, lengths
+    def _learn(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        odd = np.array([k[0] == " " for k in keys], dtype=bool)
+        if not odd.any():
+            return self._merge(keys)
+        ids, known = self._merge([k for k in keys if k[0] != " "])
+        made = [self.tokenizer.encode(k[1:], add_special_tokens=False).ids for k in keys if k[0] == " "]
+        lengths = np.zeros(len(keys), dtype=np.int64)
+        lengths[~odd], lengths[odd] = known, [len(m) for m in made]
+        whole = np.repeat(odd, lengths)
+        both = np.empty(len(whole), dtype="<u4")
+        both[whole], both[~whole] = list(chain.from_iterable(made)), ids
+        return both, lengths
 
     def _together(self, texts: list[str]) -> list[np.ndarray]:
-        split = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
-        counts = [len(p) for p in split]
-        ids, ends = self.pieces.of(chain.from_iterable(split), sum(counts), self._learn)
-        return np.split(ids, ends[np.cumsum(counts) - 1][:-1])
+        split = [self._split(t) for t in texts]
+        counts = np.array([len(w) for w in split], dtype=np.int64)
+        ids, ends = self.words.of(chain.from_iterable(split), int(counts.sum()), self._learn)
+        return np.split(ids, np.concatenate([[0], ends])[np.cumsum(counts)][:-1])
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         group, chars = [], 0
@@ -196,10 +210,12 @@ def _made(digest: str, limit: int, holder: tuple) -> WholeTexts:
         and not parsed["model"]["dropout"]
         and not any(t["normalized"] or t["single_word"] for t in parsed["added_tokens"])
     )
-    return SpacelessWords(tokenizer, limit) if spaceless else WholeTexts(tokenizer)
+    if not spaceless:
+        return WholeTexts(tokenizer)
+    return SpacelessWords(tokenizer, limit, [t["content"] for t in parsed["added_tokens"]], parsed["model"]["end_of_word_suffix"])
 
 
-def encoder(spec: str, limit: int = 250_000) -> WholeTexts:
+def encoder(spec: str, limit: int = 500_000) -> WholeTexts:
     """The encoder for a tokenizer file's content. A worker process keeps it, so later tasks find its words known."""
     return _made(hashlib.md5(spec.encode()).hexdigest(), limit, _Spec((spec,)))
 
