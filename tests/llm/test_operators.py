@@ -154,6 +154,23 @@ def test_secrets_of_odd_rows(spark, documents):
 # ---- chat
 
 
+def test_a_conversation_of_many_turns(spark):
+    texts = [("é" * (k % 7) + "</turn>" * (k % 3 == 0) + f" {k}") for k in range(2_500)]
+    role = lambda k: "assistant" if k % 5 in (1, 2) else "user"
+    frame = spark.createDataFrame([(1, k, role(k), t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    made = chat.format_chats(frame)
+    row, read = made.first(), chat.read_back(made).first()
+    assert read.loss_texts == [t for k, t in enumerate(texts) if role(k) == "assistant"]
+    assert [chat_text(row.formatted[s.start : s.end]) for s in row.loss_spans] == read.loss_texts
+    assert [(t.role, t.text) for t in read.turns] == [(role(k), t) for k, t in enumerate(texts)]
+    mute = chat.read_back(chat.format_chats(frame, trained="nobody")).first()
+    assert mute.loss_texts == [] and len(mute.turns) == len(texts)
+
+
+def chat_text(escaped):
+    return escaped.replace("\\e", "</turn>")
+
+
 def test_chats_survive_any_text(spark):
     rng = random.Random(5)
     bits = ["\\", "</turn>", "<join>", "### ", "\n", "a", "\\b", "\\e", ": ", "é", "#", "<", "", "</turn", ">"]
@@ -211,6 +228,23 @@ def test_piecewise_encoding_equals_whole(texts):
         assert made.encode(t).tolist() == made.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+@given(st.lists(st.text(st.one_of(st.characters(max_codepoint=0x2FF), st.sampled_from("ab 'st\n")), max_size=60), max_size=12))
+@settings(max_examples=80, deadline=None)
+def test_texts_encoded_together_equal_those_alone(texts):
+    spec = tokenizer.read_spec(SPEC)
+    whole = tokenizer.encoder(spec).tokenizer
+    made = tokenizer.SpacelessWords(whole, 6, ["<|startoftext|>", "<|endoftext|>"], "</w>")  # forgets all the time
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [ids.tolist() for ids in made.encode_all(texts)] == want
+
+
+def test_texts_of_pieces_without_blanks():
+    made = tokenizer.encoder(tokenizer.read_spec(SPEC))
+    for t in ["é日" * 3_000, "ab cd" * 3_000 + "日", "日 " * 3_000, "a</w>b </w> <|END|> <|endoftext|><|endoftext|>x y", "it's 'Tis DON'T '' 'S ÀÉ's ×÷"]:
+        assert made.encode(t).tolist() == made.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_other_tokenizers_encode_whole_texts():
     made = tokenizer.encoder(tokenizer.read_spec(public_tokenizers.path("byte_bpe_50k.json")))
     assert type(made) is tokenizer.WholeTexts and made.encode("a  b").tolist() == made.tokenizer.encode("a  b").ids
@@ -433,6 +467,25 @@ def test_blocks_in_another_order_or_repeated(a, b):
     assert set(line_dedup.common_blocks(a, b, long_in_b)) == shared_places(a, b, long_in_b)
 
 
+def test_blocks_come_from_the_alignment(monkeypatch):
+    assert line_dedup.common_blocks([1, 2, 3], [3, 1, 2], [True] * 3) == [0, 1, 2]
+    real = line_dedup.patience
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b: real(a, b)[:1])
+    assert line_dedup.common_blocks([1, 2, 3, 4], [9, 1, 2, 3, 4], [False, True, False, False, False]) == [1]
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b: [])
+    assert line_dedup.common_blocks([1, 2, 3], [3, 1, 2], [True] * 3) == []
+
+
+def test_many_crossing_or_repeated_blocks_take_few_alignments(monkeypatch):
+    seen, real = [], line_dedup.patience
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b: seen.append(len(a) + len(b)) or real(a, b))
+    n = 3_000
+    for a, b in [(list(range(n)), list(range(n))[::-1]), ([1, 2], [1, 2] * n), ([0, 1] * n, [1, 0] * n), ([0, 1], [0] * n + [1])]:
+        seen.clear()
+        assert line_dedup.common_blocks(a, b, [True] * len(b)) == list(range(len(b)))
+        assert sum(seen) <= 16 * (len(a) + len(b))
+
+
 def test_lines_equal_the_comparison_of_all_overlapping_pairs(spark, documents):
     rng = random.Random(5)
     line = lambda k: f"ok {k}" if k >= 5 else f"this is a rather long line number {k}"

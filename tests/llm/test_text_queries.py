@@ -118,20 +118,33 @@ def test_op10_finds_nearly_all_groups_of_a_larger_table(spark, connection):
     assert sum(found[i] == wanted[i] for i in copies) >= 0.95 * len(copies) > 0
 
 
-def test_op9_equals_the_diff_of_every_pair(spark, docs):
-    from scrubwell.llm.line_dedup import common_blocks
+def shared_runs(a, b, long):
+    """Places in b of equal stretches around every pair of equal long lines."""
+    at = defaultdict(list)
+    for i, x in enumerate(a):
+        at[x].append(i)
+    out = set()
+    for j in (j for j in range(len(b)) if long[j]):
+        for i in at[b[j]]:
+            for step in (1, -1):
+                k = 0
+                while 0 <= i + k < len(a) and 0 <= j + k < len(b) and a[i + k] == b[j + k]:
+                    out.add(j + k)
+                    k += step
+    return out
+
 
+def test_op9_equals_the_diff_of_every_pair(spark, docs):
     lines = {i: [x.strip(" ") for x in t.split("\n")] for i, t in docs.items()}
-    first = {}
-    for i in sorted(docs):
-        for x in lines[i]:
-            if len(x) >= 20:
-                first.setdefault(x, i)
+    long = {i: [len(x) >= 20 for x in own] for i, own in lines.items()}
+    holders = defaultdict(set)
+    for i, own in lines.items():
+        for x in own:
+            holders[x].add(i)
     for r in QUERIES["op9_line_dedup"](spark, SF).collect():
         own = lines[r.doc_id]
-        partners = {first[x] for x in own if len(x) >= 20} - {r.doc_id}
-        deleted = sorted({k for p in partners for k in common_blocks(lines[p], own, [len(x) >= 20 for x in own])})
+        partners = {p for x, of in zip(own, long[r.doc_id], strict=True) if of for p in holders[x] if p < r.doc_id}
+        deleted = sorted(set().union(*(shared_runs(lines[p], own, long[r.doc_id]) for p in partners)))
         assert r.deleted == ",".join(map(str, deleted))
         kept = "\n".join(x for k, x in enumerate(docs[r.doc_id].split("\n")) if k not in deleted)
         assert r.kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
-        assert all(first[own[k]] < r.doc_id for k in deleted if len(own[k]) >= 20)
