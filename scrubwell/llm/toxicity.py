@@ -37,8 +37,7 @@ from scrubwell.llm.words import split_words
 # Bounds of what is learned from: labelled documents, and documents that train the classifier.
 MAX_LABELLED = 20_000
 MAX_TRAINING = 20_000
-# Terms of the lexicons at most, and the likelihood ratio (of a term's rate in toxic documents) they must reach.
-MAX_TERMS = 5_000
+# The likelihood ratio (of a term's rate in toxic documents) that terms of the lexicons must reach.
 EVIDENCE = 25.0
 THRESHOLD = 0.7
 
@@ -207,19 +206,25 @@ def fit_label_model(codes: np.ndarray, unlabelled: np.ndarray, clean: np.ndarray
 
 @dataclass
 class ToxicityModel:
-    """What scoring needs: a weight per term. Some thousand numbers."""
+    """What scoring needs: a weight per term of the lexicons, which are learned from the bounded labelled sample."""
 
     weights: dict[str, float]
     intercept: float
     label_model: LabelModel
 
 
+def _sampled(key: Column, purpose: str, share: float) -> Column:
+    """Whether a digest of ``key`` is among the lowest ``share`` of its 63 bits."""
+    lowest = F.shiftrightunsigned(F.xxhash64(key, F.lit(purpose)), 1)
+    return lowest <= F.lit(min(int(share * (1 << 63)), (1 << 63) - 1))
+
+
 def _labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, bound: int) -> DataFrame:
     """About ``bound`` labelled documents at most, chosen by digest of the id: text and toxic (0 or 1)."""
     one = labels.filter(is_training(F.col("doc_id")) & F.col(label_col).isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("label_id"))
     one = one.agg((F.max(label_col) > 0).cast("int").alias("toxic"))
     share = min(1.0, bound / max(1, one.count()))
-    chosen = one.filter(F.pmod(F.xxhash64("label_id", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    chosen = one.filter(_sampled(F.col("label_id"), "sample", share))
     texts = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "toxic")  # ``bound`` rows of 12 bytes
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +237,7 @@ def _labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, bound:
     return texts.mapInArrow(sign, "text string, toxic int, least bigint").dropDuplicates(["toxic", "least"]).drop("least")
 
 
-def _learn_terms(sample: DataFrame, most: int, evidence: float) -> list[str]:
+def _learn_terms(sample: DataFrame, evidence: float) -> list[str]:
     """Terms of toxic documents, from numbers of documents per term and class."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +268,7 @@ def _learn_terms(sample: DataFrame, most: int, evidence: float) -> list[str]:
     apart = rate(a, n0) + rate(b, n1) + rate(n0 - a, n0) + rate(n1 - b, n1)
     alike = rate(a + b, n0 + n1) + rate(n0 + n1 - a - b, n0 + n1)
     scored = by_term.select("term", "a", "b", (2 * (apart - alike)).alias("g"))
-    wanted = scored.filter((F.col("g") >= evidence) & (b / n1 > 4 * a / n0)).orderBy(F.desc("g"), "term").limit(most)
+    wanted = scored.filter((F.col("g") >= evidence) & (b / n1 > 4 * a / n0))
     return [r["term"] for r in wanted.collect()]
 
 
@@ -286,12 +291,12 @@ def _vote_counts(texts: DataFrame, learned: frozenset[str], label: str | None =
 
 def train(
     docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labelled: int = MAX_LABELLED, max_training: int = MAX_TRAINING,
-    max_terms: int = MAX_TERMS, evidence: float = EVIDENCE,
+    evidence: float = EVIDENCE,
 ) -> ToxicityModel:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id and a 0/1 column)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = stored(_labelled_sample(docs, labels, label_col, max_labelled), "labelled")
-    learned = frozenset(_learn_terms(sample, max_terms, evidence)) - {*MARKS}
+    learned = frozenset(_learn_terms(sample, evidence)) - {*MARKS}
     every, marked = _vote_counts(docs.select("text"), learned), _vote_counts(sample, learned, "toxic")
     codes = np.array(sorted({c for c, _ in [*every, *marked]}), dtype=np.int64)
     clean, toxic = (np.array([marked[c, y] for c in codes], dtype=float) for y in (0, 1))
@@ -302,7 +307,7 @@ def train(
 
     # Posterior labels of a bounded sample; a document counts for both classes, by its probability.
     share = min(1.0, max_training / max(1, sum(every.values())))
-    more = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("training")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    more = docs.filter(_sampled(F.col("doc_id"), "training", share))
     vocabulary = sorted(learned | _FIXED | {*MARKS})
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -266,6 +266,14 @@ def test_label_model_finds_accuracies():
     assert np.mean((model.posterior(v @ (3 ** np.arange(7, -1, -1))) > 0.5) == y) > 0.96
 
 
+def test_samples_of_any_share(spark):
+    rows = spark.range(200_000)
+    assert rows.filter(toxicity._sampled(F.col("id"), "x", 1.0)).count() == 200_000
+    assert 150 < rows.filter(toxicity._sampled(F.col("id"), "x", 0.001)).count() < 250
+    lowest = rows.select(F.shiftrightunsigned(F.xxhash64("id", F.lit("x")), 1).alias("h")).agg(F.min("h")).first()[0]
+    assert rows.filter(toxicity._sampled(F.col("id"), "x", (lowest + 2048) / 2**63)).count() == 1  # a share below 1 / 2**17
+
+
 def test_toxicity_of_odd_rows(spark, documents):
     rows = [(i, "calm words about the weather of day " + str(i)) for i in range(200)] + [(i, f"you idiot and loser of day {i} go away now") for i in range(200, 260)]
     docs = documents(*rows, *[(900 + (r[0] or 0), r[1]) for r in ODD], (None, "you idiot and loser"))
