@@ -76,6 +76,9 @@ class PieceEncoder:
             self.known = {c: self.known[c] for c in chunks if c in self.known}
             self.odd &= chunks
         found = self.model.encode([c[1:] for c in new], num_threads=1) if new else []
+        if " " in new:  # a lone blank ends a text; the model adds none to an empty text, so it is taken from behind a word
+            word, both = self.model.encode(["a", "a "], num_threads=1)
+            found[new.index(" ")] = both[len(word) :]
         counts = np.array([len(ids) for ids in found], dtype=np.int64)
         flat = np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(counts.sum()))
         data, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()

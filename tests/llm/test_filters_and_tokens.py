@@ -278,3 +278,11 @@ def test_op12_coalesces_tilings(widths, data):
     at_a, at_b = token_alignment.overlaps(a_start, a_end, b_start, b_end)
     wanted = [(i, j) for i in range(len(a_end)) for j in range(len(b_end)) if a_start[i] < b_end[j] and b_start[j] < a_end[i]]
     assert list(zip(at_a.tolist(), at_b.tolist())) == wanted
+
+
+def test_op12_texts_ending_in_one_blank(spark, documents):
+    rows = [(1, "a b "), (2, "end. "), (3, "a b  "), (4, "漢字 "), (5, "word " * 20_000), (6, "\t ")]
+    docs = documents(*rows).withColumnRenamed("score", "groups").withColumnRenamed("size", "pairs")
+    found = {r.row.doc_id: (*(r[c] for c in FIGURES), sha(r.groups) if r.groups else "") for r in token_alignment.alignment(docs, BYTES, PIECES).collect()}
+    assert found == dict(zip((d for d, _ in rows), aligned_in_python([t for _, t in rows])))
+    assert all(found[d][0] > 0 for d, _ in rows)
