@@ -48,9 +48,10 @@ def models(task: str, bins: int, tree_column: str = "features") -> dict[str, obj
     raise ValueError(f"unknown task {task!r}, expected one of {', '.join(TASKS)}")
 
 
-# Rows of a partition while models are fitted, and the fewest partitions. Bagging in a forest follows the partitions, so
-# their number must come from the table and not from the machine.
+# Rows and bytes of strings of a partition while models are fitted, and the fewest partitions. Bagging in a forest follows
+# the partitions, so their number must come from the table and not from the machine.
 PARTITION_ROWS = 100_000
+PARTITION_BYTES = 32 << 20
 PARTITIONS = 8
 COUNTS = ("n_train", "n_test", "n_scored", "n_features")
 # Signs of a failing cluster in an error. Such an error says nothing about the model and is passed on.
@@ -120,7 +121,7 @@ def _evaluate_rows(
         columns = [ref(c) for c in prepared.columns]
         digest = content_digest(prepared, prepared.columns, seed)
         marked = prepared.select(*columns, digest.alias("__digest"), split_point(prepared, seed).alias("__point"))
-        parts = max(PARTITIONS, -(-marked.count() // PARTITION_ROWS))
+        parts = _partitions(marked, string_columns(prepared))
         # Rows are dealt and sorted by content, so a row gets the same number when its partition is made again.
         marked = marked.repartition(parts, "__digest").sortWithinPartitions("__digest")
         marked = hold(marked.withColumn("__row", F.monotonically_increasing_id()))
@@ -167,6 +168,14 @@ def _evaluate_rows(
             part.unpersist()
 
 
+def _partitions(df: DataFrame, strings: Sequence[str]) -> int:
+    """How many partitions the rows are dealt into: ``PARTITION_ROWS`` rows and ``PARTITION_BYTES`` bytes of strings at most
+    each, so that long texts do not make a task read more; ``PARTITIONS`` at least."""
+    size = sum([F.coalesce(F.octet_length(ref(c)), F.lit(0)).cast("bigint") for c in strings], F.lit(0).cast("bigint"))
+    rows, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return max(PARTITIONS, -(-rows // PARTITION_ROWS), -(-total // PARTITION_BYTES))
+
+
 def _evaluate_words(train: DataFrame, test: DataFrame, target: str, n_test: int) -> tuple:
     """A result without the name: naive Bayes from the word statistics of the training rows."""
     blank = (None,) * len(METRICS["text_classification"])

@@ -210,3 +210,14 @@ def test_trees_read_words_in_few_slots(spark):
             for w in words[int(r["label"])].split():
                 wanted[HashingTF(numFeatures=width).indexOf(w)] += 1
             assert r[column] == wanted
+
+
+def test_rows_are_dealt_by_bytes_of_strings_too(spark, monkeypatch):
+    """Long texts take more partitions, so that no task reads more than its share of bytes; few short rows take 8."""
+    from scrubwell.operators import evaluate
+
+    texts = spark.range(20).selectExpr("repeat('w ', 500) AS text", "id % 2 AS quality")
+    assert evaluate._partitions(texts, ["text"]) == evaluate.PARTITIONS
+    monkeypatch.setattr(evaluate, "PARTITION_BYTES", 1000)
+    assert evaluate._partitions(texts, ["text"]) == 20
+    assert evaluate._partitions(texts.selectExpr("CAST(NULL AS string) AS text", "quality"), ["text"]) == evaluate.PARTITIONS
