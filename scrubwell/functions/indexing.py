@@ -81,7 +81,7 @@ class FrequencyIndex:
         if self.size <= bins:
             placed = running_totals(self.table, order, F.lit(1).cast("bigint"), True).withColumn("__bin", F.col("__before").cast("double"))
         else:
-            placed = running_totals(self.table, order, F.col("__n"), self.size <= self.small_limit)
+            placed = running_totals(self.table, order, F.col("__n"), self.size <= self.small_limit, self.size)
             middle = F.expr(f"((2 * __before + __n) * {bins}) div {2 * self.rows}")
             placed = placed.withColumn("__bin", middle.cast("double"))
         table = cut_lineage(placed.select("__key", "__n", "__sum", "__index", "__bin"))
@@ -112,7 +112,7 @@ def dictionaries(df: DataFrame, names: Sequence[str], response: Column | None =
         wide = keys < size
         own = counted.filter(F.col("__column") == name).select(value_key(F.col("__value"), wide).alias("__key"), "__value", "__n", "__sum")
         order = [F.desc("__n"), F.asc("__value")]
-        placed = running_totals(own, order, F.lit(1).cast("bigint"), size <= small_limit and held <= ORDERED_BYTES)
+        placed = running_totals(own, order, F.lit(1).cast("bigint"), size <= small_limit and held <= ORDERED_BYTES, size)
         columns = ["__key", "__value", "__n", F.col("__before").cast("double").alias("__index")] + ["__sum"] * (response is not None)
         out[name] = FrequencyIndex(placed.select(*columns), size, rows, small_limit, wide)
     return out
@@ -123,24 +123,27 @@ def frequency_index(df: DataFrame, name: str, small_limit: int = SMALL_INDEX) ->
     return dictionaries(df, [name], small_limit=small_limit)[name]
 
 
-def running_totals(table: DataFrame, order: list[Column], weight: Column, small: bool) -> DataFrame:
+def running_totals(table: DataFrame, order: list[Column], weight: Column, small: bool, rows: int | None = None) -> DataFrame:
     """``table`` with ``__before``, the weight of all rows before a row in the given order.
 
     A small table is one window. Otherwise rows are range-partitioned by the order and written with their partition
     number; then each partition is added up on its own, shifted by the totals of the partitions before it. Writing fixes
-    the partition numbers, so that totals and rows cannot disagree after a task is run again.
+    the partition numbers, so that totals and rows cannot disagree after a task is run again. With the number of ``rows``
+    given, there are enough partitions for about ``SMALL_INDEX`` rows each, so that no task's window grows with the table.
     """
     earlier = lambda window: window.rowsBetween(Window.unboundedPreceding, -1)
     total = lambda column, window: F.coalesce(F.sum(column).over(window), F.lit(0).cast("bigint"))
     if small:
         return table.withColumn("__before", total(weight, earlier(Window.partitionBy(F.lit(0)).orderBy(*order))))
     parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(parts, -(-rows // SMALL_INDEX)) if rows else parts
     ranged = cut_lineage(table.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()))
     sums = ranged.groupBy("__range").agg(F.sum(weight).alias("__weight"))
     before = earlier(Window.partitionBy(F.lit(0)).orderBy("__range"))
     shifts = sums.select("__range", total("__weight", before).alias("__shift"))
     within = earlier(Window.partitionBy("__range").orderBy(*order))
-    placed = ranged.withColumn("__own", total(weight, within))
-    # one row per shuffle partition, so the broadcast is bounded by a setting
+    # as many tasks as ranges, about one range each, however few shuffle partitions are set
+    placed = ranged.repartitionByRange(parts, "__range").withColumn("__own", total(weight, within))
+    # one row per range: at most the setting or a row per SMALL_INDEX rows of the table
     joined = placed.join(F.broadcast(shifts), "__range")
     return joined.withColumn("__before", F.col("__shift") + F.col("__own")).drop("__range", "__own", "__shift")

@@ -89,7 +89,7 @@ class WordStatistics:
     def numbered(self) -> WordStatistics:
         """The statistics with ``__slot``: features of one column stand together, the most frequent word first, ties by word."""
         order = [F.asc("__column"), F.desc("__tokens"), F.asc("__word")]
-        placed = running_totals(self.table, order, F.lit(1).cast("bigint"), self.n_features <= SMALL)
+        placed = running_totals(self.table, order, F.lit(1).cast("bigint"), self.n_features <= SMALL, self.n_features)
         table = cut_lineage(placed.withColumnRenamed("__before", "__slot"))
         return WordStatistics(table, self.names, self.n_features, self.wide, self.hot_floor)
 

@@ -98,3 +98,14 @@ def test_words_whose_digests_collide(texts, monkeypatch):
     monkeypatch.setattr(module, "value_key", lambda v, wide=False: real(v, True) if wide else F.substring(real(v), 1, 1))
     statistics = module.word_statistics(texts, ["text"])
     assert statistics.wide and statistics.table.select("__key").distinct().count() == statistics.n_features
+
+
+def test_running_totals_deal_ranges_of_bounded_size(spark, monkeypatch):
+    from scrubwell.functions import indexing
+
+    monkeypatch.setattr(indexing, "SMALL_INDEX", 50)
+    table = spark.range(400).select((F.col("id") * 7 % 400).alias("v"))
+    placed = indexing.running_totals(table, [F.asc("v")], F.lit(1).cast("bigint"), False, 400)
+    by_task = [r[1] for r in placed.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(by_task) >= 8 and max(by_task) <= 100
+    assert {r["v"]: r["__before"] for r in placed.collect()} == {v: v for v in range(400)}
